@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, mtree, pii, urlfilter
+from . import decontaminate, mixing, mtree, neardup, pii, urlfilter
 from .common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(spark, table(spark, sf_dir, "documents"), width=2)
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
@@ -90,5 +98,5 @@ s AS (SELECT source, sid, source_size, CASE WHEN w * lv.l > 3 * source_size THEN
 SELECT d.doc_id, d.source, d.size, s.source_size, CAST(s.target AS DOUBLE) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op7_top_k": OP7_SQL}
