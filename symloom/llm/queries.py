@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, mtree, neardup, pii, urlfilter
+from . import decontaminate, linededup, mixing, mtree, neardup, pii, urlfilter
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = linededup.drop_lines(spark, docs)
+    return cut.select("doc_id", F.col("_total").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: The tables hold no filter lists and no fetch times: both follow from md5 of the address, by the same rule in SQL.
 FIRST_DAY, DAYS = 19723, 366
 
@@ -98,5 +104,5 @@ s AS (SELECT source, sid, source_size, CASE WHEN w * lv.l > 3 * source_size THEN
 SELECT d.doc_id, d.source, d.size, s.source_size, CAST(s.target AS DOUBLE) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k, "op8_line_dedup": op8_line_dedup}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op7_top_k": OP7_SQL}
