@@ -167,4 +167,4 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, block_words:
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item (rows without id all stay)."""
     leaked = Stages(spark, "leaks").keep(matches(spark, docs, items).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti")
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)

@@ -189,6 +189,6 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id (rows without id all stay)."""
-    gone = classes(spark, docs, width, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one document of each group: the one with the smallest id (rows that share the kept id, and rows without id, all stay)."""
+    gone = Stages(spark, "copies").keep(classes(spark, docs, width, percent).filter("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontaminate, linededup, mixing, mtree, neardup, pii, urlfilter
+from . import classlm, decontaminate, langid, linededup, mixing, mtree, neardup, pii, urlfilter
 from .common import table
 
 
@@ -29,6 +29,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("_total").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.document_rows(docs).unionByName(langid.page_rows(table(spark, sf_dir, "pages")))
+    return langid.identify(spark, rows, langid.fit(docs))
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(spark, table(spark, sf_dir, "documents"))
 
@@ -108,5 +114,5 @@ s AS (SELECT source, sid, source_size, CASE WHEN w * lv.l > 3 * source_size THEN
 SELECT d.doc_id, d.source, d.size, s.source_size, CAST(s.target AS DOUBLE) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k, "op8_line_dedup": op8_line_dedup, "op10_class_lm": op10_class_lm}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_class_lm": op10_class_lm}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op7_top_k": OP7_SQL}
