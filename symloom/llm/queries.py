@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontaminate, langid, linededup, mixing, mtree, neardup, pii, urlfilter
+from . import classlm, decontaminate, langid, linededup, mixing, mtree, neardup, pii, suffixdedup, urlfilter
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(captures, list_events(pages), FIRST_DAY + DAYS)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.cut_repeats(spark, table(spark, sf_dir, "documents")))
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = pii.detect(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda x: x["kind"])
@@ -114,5 +118,5 @@ s AS (SELECT source, sid, source_size, CASE WHEN w * lv.l > 3 * source_size THEN
 SELECT d.doc_id, d.source, d.size, s.source_size, CAST(s.target AS DOUBLE) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_class_lm": op10_class_lm}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_url_filters": op4_url_filters, "op5_suffix_dedup": op5_suffix_dedup, "op6_pii_spans": op6_pii_spans, "op7_top_k": op7_top_k, "op8_line_dedup": op8_line_dedup, "op9_language_id": op9_language_id, "op10_class_lm": op10_class_lm}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op7_top_k": OP7_SQL}
