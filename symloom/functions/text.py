@@ -76,7 +76,7 @@ def trim_newlines(text: Column) -> Column:
 
 
 def gate_suffix(gate: Column) -> Column:
-    return F.when(gate.isNotNull(), F.concat(F.lit(" [feature: "), gate, F.lit("]"))).otherwise("")
+    return F.when(gate.isNotNull(), F.concat(F.lit("  [feature: "), gate, F.lit("]"))).otherwise("")
 
 
 def query_terms(query: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from symloom import schemas
 from symloom.functions import text as T
 from symloom.operators.index import suffix_table
+from symloom.operators.store import materialize
 
 COLUMNS = ("package", "item_id", "path", "name", "kind", "segs", "depth", "path_lc", "name_lc", "reexport_source", "is_stub")
 
@@ -117,6 +118,7 @@ def lookup(queries: DataFrame, items: DataFrame) -> DataFrame:
 def lookup_method(queries: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, package, parent, method, kf -> like ``lookup``; the parent is resolved without the kind filter, and bubbles up if it is not Found."""
     parents = lookup(queries.select("query_id", "package", F.col("parent").alias("text"), F.lit(None).cast("string").alias("kf")), items)
+    parents = materialize(parents, "parents")
     one = parents.filter("status = 'Found'").select("query_id", F.col("item_id").alias("parent_id"))
     asked = prepare(queries.withColumn("text", F.col("method"))).join(one, "query_id")
     hits = asked.join(edges, ["package", "parent_id"]).withColumn("item_id", F.col("child_id")).join(items.select(*COLUMNS), ["package", "item_id"])
@@ -148,7 +150,7 @@ def resolve(queries: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame
     tries = tries.select("origin", "package", F.col("t.try").alias("try"), F.col("t.text").alias("text"), F.col("t.kf").alias("kf"), F.col("t.method").alias("method")).withColumn("query_id", F.concat_ws("/", F.col("origin").cast("string"), F.col("try").cast("string")))
     plain = lookup(tries.filter("method IS NULL").select("query_id", "package", "text", "kf"), items)
     called = lookup_method(tries.filter("method IS NOT NULL").select("query_id", "package", F.col("text").alias("parent"), "method", "kf"), items, edges)
-    hits = plain.unionByName(called).filter("status <> 'NotFound'")
+    hits = materialize(plain.unionByName(called).filter("status <> 'NotFound'"), "tries")
     hits = tries.select("origin", "try", "query_id").join(hits, "query_id")
     hits = hits.withColumn("first", F.min("try").over(Window.partitionBy("origin"))).filter("try = first")
     out = queries.select("query_id").join(hits.drop("query_id", "first").withColumnRenamed("origin", "query_id"), "query_id", "left")

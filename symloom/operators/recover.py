@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from symloom import schemas
 from symloom.functions import text as T
 from symloom.operators import lookup as L
+from symloom.operators.store import materialize
 
 
 def same_name(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -71,11 +72,11 @@ def by_glob(queries: DataFrame, items: DataFrame, globs: DataFrame) -> DataFrame
 
 def recover(queries: DataFrame, items: DataFrame, edges: DataFrame, globs: DataFrame) -> DataFrame:
     """The whole ladder: resolve; by name; through stub prefixes; through globs. Each rung sees only what is left."""
-    done = L.resolve(queries, items, edges)
+    done = materialize(L.resolve(queries, items, edges), "resolved")
     lost = queries.join(done.filter("status = 'NotFound'").select("query_id"), "query_id", "left_semi")
-    named = same_name(lost.withColumn("text", F.array_join("segments", "::")), items)
+    named = materialize(same_name(lost.withColumn("text", F.array_join("segments", "::")), items), "named")
     lost = lost.join(named.select("query_id"), "query_id", "left_anti")
-    deep = by_prefix(lost, items)
+    deep = materialize(by_prefix(lost, items), "prefixed")
     lost = lost.join(deep.select("query_id"), "query_id", "left_anti")
     wide = by_glob(lost, items, globs)
     parts = [done.filter("status <> 'NotFound'").select("query_id", "status", "rank", "item_id", "path", "kind", F.lit("resolve").alias("rung")), named.withColumn("rung", F.lit("name"))]

@@ -14,6 +14,7 @@ from symloom.operators import index, listing, packages, recover
 from symloom.operators import lookup as L
 from symloom.operators import search as S
 from symloom.operators import suggest as G
+from symloom.operators.store import Store, fingerprint, materialize
 from symloom.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +58,24 @@ def register(oracle: str | None = None, corpus_cte: bool = True, recursive: bool
     return add
 
 
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "documents")
+
+
 def _full(spark: SparkSession, sf_dir: str, extension: bool = False) -> tuple[DataFrame, DataFrame]:
-    """items with stub flags, and child edges."""
-    rows = corpus.items(spark, sf_dir, extension)
-    edges = index.children(rows)
-    return index.with_stubs(rows, edges), edges
+    """items with stub flags, and child edges: built once for a state of the inputs, then read from the index store."""
+
+    def build() -> dict[str, DataFrame]:
+        rows = materialize(corpus.items(spark, sf_dir, extension), "corpus")
+        edges = materialize(index.children(rows), "children")
+        return {"items": index.with_stubs(rows, edges), "children": edges}
+
+    name = f"{sf_dir}{'+' * extension}"
+    tables = Store(spark).get(name, fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in _TABLES]), build)
+    return tables["items"], tables["children"]
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full(spark, sf_dir)[0]
 
 
 def _values(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -89,7 +103,7 @@ SELECT item_id, path, kind, signature, CAST(score AS INTEGER) AS score FROM cut
 
 def _searcher(name: str, query: str, kind: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return S.search(corpus.items(spark, sf_dir), query, kind)
+        return S.search(_items(spark, sf_dir), query, kind)
 
     run.__name__ = name
     register(_search_sql(query, f"grp = '{kind}'" if kind else "true"))(run)
@@ -110,7 +124,7 @@ BATCH = {1: "widget", 2: "order 77", 3: "africa", 4: "trait supplier", 5: "build
     "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, item_id) AS rank FROM scored WHERE score > 0)",
     "cut AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY rank) AS twin FROM top WHERE rank <= 20)"]) + " SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, item_id, path, kind, CAST(score AS INTEGER) AS score FROM cut WHERE twin = 1")
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_batch(corpus.items(spark, sf_dir), BATCH).select("query_id", "rank", "item_id", "path", "kind", "score")
+    return S.search_batch(_items(spark, sf_dir), BATCH).select("query_id", "rank", "item_id", "path", "kind", "score")
 
 
 # Lookup.
@@ -183,7 +197,7 @@ def lookup_all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(", t AS (SELECT *, row_number() OVER (PARTITION BY path, kind ORDER BY item_id) AS n FROM items) SELECT item_id, path, kind FROM t WHERE n = 1")
 def dedup_path_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.items(spark, sf_dir).withColumn("query_id", F.lit(0)).withColumn("pos", F.col("item_id"))
+    rows = _items(spark, sf_dir).withColumn("query_id", F.lit(0)).withColumn("pos", F.col("item_id"))
     return L.distinct_path_kind(rows).select("item_id", "path", "kind")
 
 
@@ -214,7 +228,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, path
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(distance AS INTEGER) AS distance, path FROM r WHERE rank <= 5""")
 def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _values(spark, [(i, "tpch", t) for i, t in NEAR], "query_id long, package string, text string")
-    return G.suggestions(asked, corpus.items(spark, sf_dir))
+    return G.suggestions(asked, _items(spark, sf_dir))
 
 
 @register(f""", r AS (SELECT parent_id AS query_id, path, min(levenshtein('order_7', name_lc)) AS distance FROM edges JOIN items ON item_id = child_id WHERE {_admit("'order_7'", 'name_lc')} GROUP BY parent_id, path),
@@ -256,7 +270,7 @@ def group_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(" SELECT CASE WHEN module_path = '' THEN 'tpch' ELSE module_path END AS module_path, count(*) AS n_items, CAST(max(strlen(path)) AS INTEGER) AS widest FROM items GROUP BY 1")
 def group_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.by_module(corpus.items(spark, sf_dir)).select("module_path", "n_items", "widest")
+    return listing.by_module(_items(spark, sf_dir)).select("module_path", "n_items", "widest")
 
 
 @register(", r AS (SELECT parent_id, CASE WHEN c.kind = 'Function' THEN 'methods' ELSE 'variants' END AS part, c.item_id, c.name, pos FROM edges JOIN items p ON p.item_id = parent_id JOIN items c ON c.item_id = child_id WHERE p.prim AND c.kind IN ('Function', 'Variant')) SELECT parent_id, part, CAST(row_number() OVER (PARTITION BY parent_id, part ORDER BY name, pos) AS INTEGER) AS rank, item_id, name FROM r")
@@ -285,7 +299,7 @@ def impls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(" SELECT item_id, lower(array_to_string(segs[i:], '::')) AS suffix_lc FROM (SELECT item_id, segs, unnest(range(1, depth + 1)) AS i FROM items)")
 def suffix_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.suffix_table(corpus.items(spark, sf_dir)).select("item_id", "suffix_lc")
+    return index.suffix_table(_items(spark, sf_dir)).select("item_id", "suffix_lc")
 
 
 # Re-exports.

@@ -40,10 +40,8 @@ KIND_OPTIONS = {"fn": "Function", "struct": "Struct", "enum": "Enum", "trait": "
 
 
 def _lookup(at: int):
-    pairs = [F.lit(x) for row in KINDS for x in (row[0], row[at])]
-
     def of(kind: Column) -> Column:
-        return F.element_at(F.create_map(*pairs), kind)
+        return F.element_at(F.create_map(*[F.lit(x) for row in KINDS for x in (row[0], row[at])]), kind)
 
     return of
 
