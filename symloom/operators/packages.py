@@ -58,4 +58,5 @@ def current_package(members: DataFrame, root: Column, cwd: Column) -> DataFrame:
 def choose_variant(variants: DataFrame) -> DataFrame:
     """package -> the variant of the best strategy that exists (explicit, documented, all, default)."""
     order = F.create_map(*[F.lit(x) for kv in {"explicit": 0, "documented": 1, "all": 2, "default": 3}.items() for x in kv])
-    return variants.groupBy("package").agg(F.min_by("variant_key", F.element_at(order, F.col("strategy"))).alias("variant_key"))
+    best = F.min(F.struct(F.element_at(order, F.col("strategy")).alias("o"), F.col("variant_key").alias("v")))
+    return variants.groupBy("package").agg(best.alias("b")).select("package", F.col("b.v").alias("variant_key"))

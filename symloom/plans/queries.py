@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from symloom import schemas
 from symloom.functions import markdown
+from symloom.functions import signature as sig
 from symloom.functions import text as T
-from symloom.operators import index, listing, packages, recover
+from symloom.operators import index, listing, packages, recover, render, store
 from symloom.operators import lookup as L
 from symloom.operators import search as S
 from symloom.operators import suggest as G
@@ -418,3 +419,78 @@ SELECT log, {" OR ".join(f"contains(low, '{p.lower()}')" for p in T.FAILURES)} O
 def failure_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = _values(spark, _LOGS, "log string").unionByName(corpus.read(spark, sf_dir, "conversations").select(F.col("text").alias("log")))
     return logs.select("log", T.is_platform_failure(F.col("log")).alias("platform"), T.no_library_target(F.col("log")).alias("no_library"))
+
+
+# Signatures, views and build tables.
+
+@register("""SELECT p_partkey, 'pub const fn ' || replace(p_name, ' ', '_') || '<T: Clone>(&mut self, size: &''a [u8; ' || p_size || '], f: impl Fn(T) -> Option<u8>) -> Result<' || replace(p_type, ' ', '') || ', (T, u8)> where T: Send' AS signature FROM part""", corpus_cte=False)
+def signature_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function item with generics, references, arrays, bounds and a where-clause for every part."""
+    tree = """{"id":1,"name":"%s","visibility":"public","inner":{"function":{"header":{"is_const":true,"is_unsafe":false,"is_async":false,"abi":"Rust"},"has_body":true,
+    "generics":{"params":[{"name":"T","kind":{"type":{"bounds":[{"trait_bound":{"trait":{"path":"Clone","id":2,"args":null},"generic_params":[],"modifier":"none"}}],"default":null,"is_synthetic":false}}}],
+    "where_predicates":[{"bound_predicate":{"type":{"generic":"T"},"bounds":[{"trait_bound":{"trait":{"path":"Send","id":3,"args":null},"generic_params":[],"modifier":"none"}}],"generic_params":[]}}]},
+    "sig":{"is_c_variadic":false,"inputs":[["self",{"borrowed_ref":{"lifetime":null,"is_mutable":true,"type":{"generic":"Self"}}}],["size",{"borrowed_ref":{"lifetime":"'a","is_mutable":false,"type":{"array":{"type":{"primitive":"u8"},"len":"%s"}}}}],
+    ["f",{"impl_trait":[{"trait_bound":{"trait":{"path":"Fn","id":4,"args":{"parenthesized":{"inputs":[{"generic":"T"}],"output":{"resolved_path":{"path":"Option","id":5,"args":{"angle_bracketed":{"args":[{"type":{"primitive":"u8"}}],"constraints":[]}}}}}}},"generic_params":[],"modifier":"none"}}]}]],
+    "output":{"resolved_path":{"path":"Result","id":6,"args":{"angle_bracketed":{"args":[{"type":{"resolved_path":{"path":"%s","id":7,"args":null}}},{"type":{"tuple":[{"generic":"T"},{"primitive":"u8"}]}}],"constraints":[]}}}}}}}}"""
+    part = corpus.read(spark, sf_dir, "part")
+    item = F.format_string(tree, F.translate("p_name", " ", "_"), F.col("p_size").cast("string"), F.replace("p_type", F.lit(" "), F.lit("")))
+    return part.select("p_partkey", sig.render_signature(item, F.array().cast("array<string>")).alias("signature"))
+
+
+@register(""", lines AS (SELECT item_id, 0 AS line_no, path, kind, signature FROM items WHERE kind = 'Module' UNION ALL
+SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY c.cat, c.name, pos), c.path, c.kind, c.signature FROM edges JOIN items p ON p.item_id = parent_id AND p.kind = 'Module' JOIN items c ON c.item_id = child_id AND c.is_public)
+SELECT item_id, CAST(line_no AS BIGINT) AS line_no, path, signature FROM lines""")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of all modules and their children, read back."""
+    items, edges = _full(spark, sf_dir)
+    none = _values(spark, [], schemas.TRAIT_IMPLS)
+    lines = render.json_items(_plain(items), edges, none, items.filter("kind = 'Module'"))
+    return lines.select("item_id", "line_no", F.get_json_object("line", "$.path").alias("path"), F.get_json_object("line", "$.signature").alias("signature"))
+
+
+def _plain(items: DataFrame) -> DataFrame:
+    """Corpus rows with the columns that views show."""
+    return items.withColumn("summary", T.summary(F.col("docs"))).withColumn("feature_gate", F.lit(None).cast("string"))
+
+
+@register()
+def text_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default view of every module and type."""
+    items, edges = _full(spark, sf_dir)
+    impls = listing.impls(corpus.trait_impls(spark, sf_dir), ["path"]).join(items.filter("NOT is_stub").select("package", "item_id", "path"), "path")
+    rows = impls.select("package", "item_id", F.col("rank").alias("pos"), "trait_path", "is_synthetic")
+    return render.text(_plain(items), edges, rows, items.filter("kind IN ('Module', 'Struct', 'Trait')")).select("item_id", "text")
+
+
+@register()
+def brief_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, edges = _full(spark, sf_dir)
+    return render.brief(_plain(items), edges, items.filter("kind IN ('Module', 'Struct', 'Trait')")).select("item_id", "text")
+
+
+_SHORT = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s, *_ in schemas.KINDS) + " END"
+
+
+@register(f""", w AS (SELECT max(strlen({_SHORT})) AS wk, max(strlen(path)) AS wp FROM items),
+l AS (SELECT CASE WHEN module_path = '' THEN 'tpch' ELSE module_path END AS module_path, path, item_id, '  ' || {_SHORT} || repeat(' ', wk - strlen({_SHORT})) || '  ' || path || repeat(' ', wp - strlen(path)) || '  ' || signature AS line FROM items, w)
+SELECT module_path, module_path || ':' || chr(10) || string_agg(line, chr(10) ORDER BY path, item_id) AS lines FROM l GROUP BY module_path""")
+def recursive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.listed(_plain(_items(spark, sf_dir))).select("module_path", "lines")
+
+
+@register(_IMPLS + " SELECT path, trait_path, is_synthetic FROM ti WHERE trait_path = '1-URGENT'")
+def implementors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.implementors(corpus.trait_impls(spark, sf_dir), "1-URGENT").select("path", "trait_path", "is_synthetic")
+
+
+@register("SELECT p_brand AS package, arg_min(p_type, (p_size % 4) || ':' || p_type) AS variant_key FROM part GROUP BY 1", corpus_cte=False)
+def variant_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strategy = F.element_at(F.array(*[F.lit(x) for x in ("explicit", "documented", "all", "default")]), (F.col("p_size") % 4 + 1).cast("int"))
+    return packages.choose_variant(corpus.read(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), strategy.alias("strategy"), F.col("p_type").alias("variant_key")))
+
+
+@register("SELECT DISTINCT p_brand AS package, CAST(p_size AS VARCHAR) AS version FROM part WHERE p_brand || '@' || p_size NOT IN (SELECT p_brand || '@' || p_size FROM part WHERE p_retailprice > 1500)", corpus_cte=False)
+def known_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = corpus.read(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), F.col("p_size").cast("string").alias("version"), "p_retailprice")
+    failed = part.filter("p_retailprice > 1500").select(F.concat_ws("@", "package", "version").alias("name_version"))
+    return store.known_failures(part.select("package", "version").distinct(), failed)
