@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAGE = 64
+PAGE = 128
 FANOUT = 16
 CHUNK = 16384
 BLOCK = 4096
@@ -34,6 +34,10 @@ SLACK = 1e-3
 LIMIT = 2.0**22
 
 
+class Node:
+    __slots__ = ("ids", "kids", "pivot", "pivots", "points", "radii", "radius", "spread", "to_parent")
+
+
 class MTree:
     """Pages of at most ``PAGE`` vectors under routing nodes of at most ``FANOUT`` children."""
 
@@ -42,27 +46,30 @@ class MTree:
         norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
         self.top = float(norms.max(initial=0.0))
         self.points = np.concatenate([vectors.astype(np.float64), np.sqrt(self.top - norms)[:, None]], axis=1)
-        self.nodes: list[tuple] = []
         self.computed = 0
-        self.root = self._build(np.arange(len(ids)), None)
-
-    def _build(self, rows: np.ndarray, parent: np.ndarray | None) -> int:
-        pivot = self.points[rows].mean(axis=0)
-        spread = np.sqrt(((self.points[rows] - pivot) ** 2).sum(axis=1))
-        radius = float(spread.max(initial=0.0))
-        to_parent = 0.0 if parent is None else float(np.sqrt(((pivot - parent) ** 2).sum()))
-        if len(rows) <= PAGE or radius == 0.0:
-            order = np.argsort(spread, kind="stable")
-            node = (pivot, radius, to_parent, None, rows[order], spread[order], None, None)
-        else:
-            groups = self._split(rows, spread)
-            kids = np.array([self._build(g, pivot) for g in groups])
-            node = (pivot, radius, to_parent, kids, None, None, np.array([self.nodes[k][2] for k in kids]), np.array([self.nodes[k][1] for k in kids]))
-        self.nodes.append(node)
-        return len(self.nodes) - 1
+        #: Integer products this small are exact in doubles, which multiply faster.
+        self.kind = np.float64 if float(np.abs(vectors).max(initial=0)) ** 2 * vectors.shape[1] < 2.0**50 else np.int64
+        self.root = self._build(np.arange(len(ids)))
+
+    def _build(self, rows: np.ndarray) -> Node:
+        node = Node()
+        node.pivot = self.points[rows].mean(axis=0)
+        spread = np.sqrt(((self.points[rows] - node.pivot) ** 2).sum(axis=1))
+        node.radius = float(spread.max(initial=0.0))
+        node.kids = None
+        if len(rows) <= PAGE or node.radius == 0.0:
+            order = np.lexsort((self.ids[rows], spread))
+            node.spread, node.ids = spread[order], self.ids[rows[order]]
+            node.points = self.exact[rows[order]].astype(self.kind)
+            return node
+        node.kids = [self._build(g) for g in self._split(rows, spread)]
+        node.pivots = np.array([k.pivot for k in node.kids])
+        node.radii = np.array([k.radius for k in node.kids])
+        node.to_parent = np.sqrt(((node.pivots - node.pivot) ** 2).sum(axis=1))
+        return node
 
     def _split(self, rows: np.ndarray, spread: np.ndarray) -> list[np.ndarray]:
-        """Farthest-first seeds, each row to its nearest; equal rows that cannot be told apart are halved."""
+        """Farthest-first seeds, each row to its nearest; rows that cannot be told apart are halved."""
         points, seeds = self.points[rows], [int(spread.argmax())]
         near = ((points - points[seeds[0]]) ** 2).sum(axis=1)
         owner = np.zeros(len(rows), dtype=int)
@@ -71,43 +78,48 @@ class MTree:
             d = ((points - points[seeds[-1]]) ** 2).sum(axis=1)
             owner[d < near] = len(seeds) - 1
             near = np.minimum(near, d)
-        groups = [rows[owner == i] for i in range(len(seeds))]
-        return [g for g in groups if len(g)] if len(groups) > 1 else [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+        groups = [g for g in (rows[owner == i] for i in range(len(seeds))) if len(g)]
+        return groups if len(groups) > 1 else [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
 
     def search(self, query: np.ndarray, skip: int, best: list[tuple], k: int) -> None:
         """Improves ``best``, a heap of at most k (score, -id)."""
-        q = np.append(query.astype(np.float64), 0.0)
+        q, own = np.append(query.astype(np.float64), 0.0), query.astype(self.kind)
         lift = self.top + float((q**2).sum())
+        give = SLACK + 1e-6 * lift**0.5
 
         def reach() -> float:
             """Distance beyond which nothing can enter ``best``."""
-            return np.inf if len(best) < k else np.sqrt(max(0.0, lift - 2.0 * best[0][0])) + SLACK + 1e-6 * np.sqrt(lift)
+            return np.inf if len(best) < k else max(0.0, lift - 2.0 * best[0][0]) ** 0.5 + give
 
-        start = float(np.sqrt(((q - self.nodes[self.root][0]) ** 2).sum()))
+        limit, turn = reach(), 0
+        dist = float(np.sqrt(((q - self.root.pivot) ** 2).sum()))
         self.computed += 1
-        queue = [(max(0.0, start - self.nodes[self.root][1]), self.root, start)]
+        queue = [(max(0.0, dist - self.root.radius), 0, dist, self.root)]
         while queue:
-            bound, at, dist = heapq.heappop(queue)
-            limit = reach()
+            bound, _, dist, node = heapq.heappop(queue)
             if bound > limit:
                 return
-            _, _, _, kids, rows, spread, to_parent, radii = self.nodes[at]
-            if kids is not None:
-                for kid in kids[np.abs(dist - to_parent) - radii <= limit]:
-                    d = float(np.sqrt(((q - self.nodes[kid][0]) ** 2).sum()))
-                    self.computed += 1
-                    low = max(bound, d - self.nodes[kid][1])
-                    if low <= limit:
-                        heapq.heappush(queue, (low, int(kid), d))
+            if node.kids is not None:
+                near = np.flatnonzero(np.abs(dist - node.to_parent) - node.radii <= limit)
+                away = node.pivots[near] - q
+                far = np.sqrt(np.einsum("ij,ij->i", away, away))
+                self.computed += len(near)
+                low = np.maximum(bound, far - node.radii[near])
+                for i, lo, d in zip(near.tolist(), low.tolist(), far.tolist(), strict=True):
+                    if lo <= limit:
+                        turn += 1
+                        heapq.heappush(queue, (lo, turn, d, node.kids[i]))
                 continue
-            rows = rows[np.abs(dist - spread) <= limit]
-            if not len(rows):
+            a, b = np.searchsorted(node.spread, dist - limit, "left"), np.searchsorted(node.spread, dist + limit, "right")
+            if a >= b:
                 continue
-            self.computed += len(rows)
-            scores = self.exact[rows] @ query
-            for i in np.lexsort((self.ids[rows], -scores))[: k + 1 + int((self.ids[rows] == skip).sum())]:
-                one = (int(scores[i]), -int(self.ids[rows[i]]))
-                if -one[1] == skip:
+            scores = node.points[a:b] @ own
+            self.computed += int(b - a)
+            full = len(best) == k
+            pick = np.flatnonzero(scores >= best[0][0]) if full else np.arange(len(scores))
+            for s, i in sorted(zip(scores[pick].tolist(), (-node.ids[a:b][pick]).tolist(), strict=True), reverse=True):
+                one = (int(s), i)
+                if -i == skip:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, one)
@@ -115,6 +127,7 @@ class MTree:
                     heapq.heapreplace(best, one)
                 else:
                     break
+            limit = reach()
 
 
 def _parse(ids, vectors):
