@@ -18,6 +18,7 @@ empty result, an untrained model scores by smoothing alone; other columns are ig
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -82,7 +83,7 @@ class Codes(dict):
 
     def reset(self):
         self.clear()
-        self.items, self.logs, self.hashes = [], [], []
+        self.items, self.logs, self.hashes = array("q"), array("d"), array("q")
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
@@ -102,6 +103,16 @@ class Codes(dict):
         words = text.lower().split()
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def item(self, codes: np.ndarray) -> np.ndarray:
+        """Items of codes; the buffer is only read in place, as it grows with the next text."""
+        return np.frombuffer(self.items, dtype=np.int64)[codes] if len(codes) else codes
+
+    def log(self, codes: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.logs, dtype=np.float64)[codes] if len(codes) else np.zeros(0)
+
+    def hash(self, codes: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.hashes, dtype=np.int64)[codes] if len(codes) else codes
+
 
 ITEMS = TOP + GROUPS + 1  # the last is the end token, which also opens a text
 
@@ -115,7 +126,7 @@ def item_bigrams(train: DataFrame, top: dict[int, int]) -> np.ndarray:
         for batch in batches:
             for text in texts(batch.column(0)):
                 seq = codes.of(text)
-                items = np.asarray(codes.items, dtype=np.int64)[seq] if len(seq) else seq
+                items = codes.item(seq)
                 edge = np.array([ITEMS - 1])
                 held.append(np.concatenate([edge, items]) * ITEMS + np.concatenate([items, edge]))
                 size += len(items)
@@ -234,12 +245,12 @@ def _scorer(sent):
                 for row, doc_id, held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts(part.column(3)), strict=True):
                     seq = codes.of(text)
                     uniq, times = np.unique(seq, return_counts=True)
-                    items = np.array([codes.items[i] for i in uniq.tolist()], dtype=np.int64)
-                    logs = np.array([codes.logs[i] for i in uniq.tolist()])
+                    items = codes.item(uniq)
+                    logs = codes.log(uniq)
                     classes = np.append(model.of[items][np.searchsorted(uniq, seq)] if len(seq) else [], CLASSES - 1).astype(np.int64)
                     path = model.transitions[np.append(CLASSES - 1, classes[:-1]), classes].sum() - model.denominators[classes].sum()
-                    inside = ~np.isnan(logs) if len(uniq) else np.zeros(0, dtype=bool)
-                    tail = [codes.hashes[i] for i in uniq[~inside].tolist()]
+                    inside = ~np.isnan(logs)
+                    tail = codes.hash(uniq[~inside]).tolist()
                     values = (row, doc_id, held, len(seq) + 1, int(times[inside].sum()), float((times[inside] * logs[inside]).sum()), float(path), tail, times[~inside].tolist())
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
