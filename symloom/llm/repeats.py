@@ -72,22 +72,26 @@ def intervals(lcp: np.ndarray, least: int):
         end = at
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, offset), ...]) of every maximal repeat of at least ``least`` bytes in the texts.
-
-    No repeat crosses a text's end; each group lists all occurrences in order."""
+def _laid_out(texts: list[bytes], least: int):
+    """Texts one after another, each closed by a symbol of its own: (starts, order, lcp, symbol before each suffix)."""
     starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    total = int(starts[-1])
-    symbols = np.empty(total, dtype=np.int64)
+    symbols = np.empty(int(starts[-1]), dtype=np.int64)
     for n, t in enumerate(texts):
         symbols[starts[n] : starts[n] + len(t)] = np.frombuffer(t, dtype=np.uint8)
         symbols[starts[n] + len(t)] = 256 + n
-    if total < 2:
-        return []
     order, steps = suffix_array(symbols, max(least, max(map(len, texts))))
-    lcp = common_prefixes(order, steps)
-    before = np.full(total, -1, dtype=np.int64)
+    before = np.full(len(symbols), -1, dtype=np.int64)
     before[1:] = symbols[:-1]
+    return starts, order, common_prefixes(order, steps), before
+
+
+def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(text, offset), ...]) of every maximal repeat of at least ``least`` bytes in the texts.
+
+    No repeat crosses a text's end; each group lists all occurrences in order."""
+    if not texts:
+        return []
+    starts, order, lcp, before = _laid_out(texts, least)
     ends = starts[1:] - 1
     out = []
     for length, left, right in intervals(lcp, least):
@@ -100,3 +104,61 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
         which = np.searchsorted(ends, at)
         out.append((length, list(zip(which.tolist(), (at - starts[which]).tolist(), strict=True))))
     return out
+
+
+_DIVERSE = -2
+
+
+def later_occurrences(texts: list[bytes], least: int) -> list[tuple[int, int, int]]:
+    """(text, start, stop): the bytes of all occurrences but the first of each maximal repeat, as united ranges.
+
+    The same stack scan; an interval hands its parent only its first occurrence, for the others
+    already go in a longer repeat, so the work is linear in the suffixes however deep the tree is."""
+    if not texts:
+        return []
+    starts, order, lcp, before = _laid_out(texts, least)
+    cover = np.zeros(int(starts[-1]) + 1, dtype=np.int64)
+    spots, lengths = [], []
+
+    def close(node) -> tuple[int, int]:
+        length, members, came = node
+        first = min(members)
+        if came == _DIVERSE:
+            rest = [m for m in members if m != first]
+            spots.extend(rest)
+            lengths.extend([length] * len(rest))
+        return first, came
+
+    long_ = np.flatnonzero(lcp >= least)
+    for run in np.split(long_, np.flatnonzero(np.diff(long_) > 1) + 1) if len(long_) else ():
+        leaves = order[run[0] - 1 : run[-1] + 1]
+        lefts = before[leaves]
+        lefts = np.where((lefts < 0) | (lefts >= 256), _DIVERSE, lefts).tolist()
+        leaves, heights = leaves.tolist(), lcp[run].tolist()
+        stack: list[list] = []
+        for n, first in enumerate(leaves):
+            came = lefts[n]
+            now = heights[n] if n < len(heights) else 0
+            while stack and stack[-1][0] > now:
+                top = stack.pop()
+                top[1].append(first)
+                if top[2] != came:
+                    top[2] = _DIVERSE
+                first, came = close(top)
+            if not now:
+                break
+            if stack and stack[-1][0] == now:
+                stack[-1][1].append(first)
+                if stack[-1][2] != came:
+                    stack[-1][2] = _DIVERSE
+            else:
+                stack.append([now, [first], came])
+    if not spots:
+        return []
+    np.add.at(cover, spots, 1)
+    np.add.at(cover, np.asarray(spots) + np.asarray(lengths), -1)
+    inside = np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)])
+    edges = np.flatnonzero(np.diff(inside))
+    begin, stop = edges[::2], edges[1::2]
+    which = np.searchsorted(starts, begin, "right") - 1
+    return list(zip(which.tolist(), (begin - starts[which]).tolist(), (stop - starts[which]).tolist(), strict=True))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .anchors import LENGTH, anchors, window_hashes
 from .common import Stages, arrow_map, texts
-from .repeats import maximal_repeats
+from .repeats import later_occurrences
 
 GROUP = 512
 NULL_ID = 2**63 - 1
@@ -118,11 +118,9 @@ def _group_repeats(length: int):
     """Rows in order of h: ranges (id, start, stop) of all but the first occurrence of each maximal repeat."""
 
     def ranges(rows):
-        rows = sorted(set(rows))
-        for size, where in maximal_repeats([r[2] for r in rows], length):
-            spots = sorted({(rows[n][0], rows[n][1] + off) for n, off in where})
-            for doc_id, start in spots[1:]:
-                yield doc_id, start, start + size
+        rows = sorted(set(rows))  # in order of the documents, so the first occurrence is the earliest
+        for n, start, stop in later_occurrences([r[2] for r in rows], length):
+            yield rows[n][0], rows[n][1] + start, rows[n][1] + stop
 
     def run(batches):
         held, size, last = [], 0, None

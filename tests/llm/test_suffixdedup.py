@@ -4,7 +4,7 @@ import random
 import pytest
 
 from symloom.llm import queries, suffixdedup
-from symloom.llm.repeats import maximal_repeats
+from symloom.llm.repeats import later_occurrences, maximal_repeats
 
 
 def brute(rows, length=100):
@@ -82,6 +82,8 @@ def test_maximal_repeats_by_brute_force():
             if len(where) > 1 and (len(left) > 1 or edge) and (len(right) > 1 or any(isinstance(x, tuple) for x in right)):
                 full.add((len(s), tuple(where)))
         assert {(n, tuple(w)) for n, w in maximal_repeats(texts, 4)} == full
+        marked = {(n, x) for size, where in full for n, a in where[1:] for x in range(a, a + size)}
+        assert {(n, x) for n, a, b in later_occurrences(texts, 4) for x in range(a, b)} == marked
 
 
 def test_repeated_rows_nulls_and_clashing_ids(spark):
