@@ -4,8 +4,8 @@
    ``ROWS`` minima and a second signature of ``PROBES`` minima that the bands do not use. A pair at the
    threshold misses every band with probability ``(1 - 0.8**ROWS)**BANDS``, below 1e-5.
 2. Equal sets form a class; the smallest id stands for it from here on.
-3. In each band bucket a few pivots meet the members that are in other components. Members of one
-   component are never compared again, pivots leave their buckets, the number of pivots grows fourfold
+3. In each band bucket a few pivots (first those that share most buckets) meet the members that are in
+   other components. Members of one component are never compared again, pivots leave their buckets, the number of pivots grows fourfold
    a round, and rounds end when no bucket holds two components: no pair that shares a bucket is left
    out unless its link could not change a component, and a bucket of copies costs a row per member.
 4. A pair's second signatures are compared in batches of ``STEP``; it goes once the posterior
@@ -164,8 +164,9 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
             break
         if bags is None:
             bags = stages.keep(arrow_map(rows.join(wanted, "id").join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "id long, bag binary", bag).dropDuplicates(["id"]), "bags")
-        pivots = own.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(4**turn)).alias("cell")).agg(F.min(F.struct("id", "comp")).alias("p"))
-        pivots = stages.keep(pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "pivots")
+        central = own.join(own.groupBy("id").agg(F.count("*").alias("shared")), "id")  # in the most open buckets first
+        pivots = central.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(4**turn)).alias("cell")).agg(F.max(F.struct("shared", (-F.col("id")).alias("minus"), "comp")).alias("p"))
+        pivots = stages.keep(pivots.select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.comp").alias("pivot_comp")), "pivots")
         met = own.join(pivots, "key").filter("comp <> pivot_comp")
         pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if tested is not None:
