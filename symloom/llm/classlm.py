@@ -1,14 +1,18 @@
 """Scoring texts with a Brown class bigram model learnt from the corpus.
 
-Training documents are counted word by word (a word is a 64-bit hash from here on). The ``TOP`` most
-frequent words and ``GROUPS`` groups of the other words, by ending, are the items that exchange
-clustering moves between ``CLASSES`` classes, from bigram counts over the whole training corpus, while
-the likelihood grows. The model is P(class | class before) * P(word | class), both smoothed; a word
-that training never saw is what its group keeps for it. The unigram base is scored beside it.
-
-The corpus counts stay distributed. Two tables of fixed size reach the driver and all tasks: item
-bigrams, and the counts of at most ``HEAD`` frequent words, which merely save a shuffle for common
-words: every other token is joined with the full count table by its hash.
+Training documents are counted word by word (a word is a 64-bit hash from here on). Every word has a
+class of its own, found in two steps. The ``TOP`` most frequent words and ``GROUPS`` groups of the other
+words, by ending, are first moved one by one between classes, which gives a start. Then every word of
+the vocabulary is moved by exchange, in ``ROUNDS`` distributed rounds: a round counts, for each word
+whose turn it is (by hash), the classes before and after it over the whole training corpus, and moves the
+word to the class where the likelihood is largest beside the class table of the round's start. A round
+that lowers the likelihood is undone. There are ``CLASSES`` classes, or the fourth root of the vocabulary
+if that is more. The model is P(class | class before) * P(word | class), both smoothed; a word that
+training never saw has the class its group started in. The unigram base is scored beside it.
+
+Texts are encoded once. Counts, classes and bigrams stay distributed; the driver and all tasks get the
+class table and at most ``HEAD`` frequent words with count and class, which merely save a shuffle for
+common words: every other token is joined with the word table by its hash.
 
 Defined results: a null or empty text is its end token; a null id is the empty string for the hold-out
 (held out) and stays null; repeated rows are scored, and counted, one by one; an empty table gives an
@@ -24,7 +28,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stages, texts
@@ -34,6 +38,7 @@ HEAD = 2**20
 ADD = 0.1
 END = 1
 SWEEPS = 6
+ROUNDS = 2
 _FLUSH = 400_000
 
 
@@ -75,26 +80,26 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Codes(dict):
-    """word -> code into growing arrays of item, log10(count + ADD) (nan: not a head word) and hash."""
+    """word -> rank of a head word, or -1 - its place in growing arrays of other words' hash and group."""
 
-    def __init__(self, top: dict[int, int], head=None):
-        self.top, self.head = top, head
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.keys, self.ranks = keys, ranks
         self.reset()
 
     def reset(self):
         self.clear()
-        self.items, self.logs, self.hashes = array("q"), array("d"), array("q")
+        self.hashes, self.groups = array("q"), array("h")
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
-        code = self[word] = len(self.items)
-        item = self.top.get(h)
-        self.items.append(TOP + group_of(word) if item is None else item)
-        self.hashes.append(h)
-        if self.head is not None:
-            keys, logs = self.head
-            at = int(np.searchsorted(keys, h))
-            self.logs.append(float(logs[at]) if at < len(keys) and keys[at] == h else float("nan"))
+        at = int(np.searchsorted(self.keys, h))
+        if at < len(self.keys) and self.keys[at] == h:
+            code = int(self.ranks[at])
+        else:
+            code = -1 - len(self.hashes)
+            self.hashes.append(h)
+            self.groups.append(group_of(word))
+        self[word] = code
         return code
 
     def of(self, text: bytes) -> np.ndarray:
@@ -103,45 +108,73 @@ class Codes(dict):
         words = text.lower().split()
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def item(self, codes: np.ndarray) -> np.ndarray:
-        """Items of codes; the buffer is only read in place, as it grows with the next text."""
-        return np.frombuffer(self.items, dtype=np.int64)[codes] if len(codes) else codes
 
-    def log(self, codes: np.ndarray) -> np.ndarray:
-        return np.frombuffer(self.logs, dtype=np.float64)[codes] if len(codes) else np.zeros(0)
+ITEMS = TOP + GROUPS + 1  # the last is the end token, which also opens a text
+_ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("ids", pa.list_(pa.int32())), ("tails", pa.list_(pa.int64())), ("groups", pa.list_(pa.int16()))])
+_SLICE = 4096
 
-    def hash(self, codes: np.ndarray) -> np.ndarray:
-        return np.frombuffer(self.hashes, dtype=np.int64)[codes] if len(codes) else codes
 
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0), type=kind, safe=False))
 
-ITEMS = TOP + GROUPS + 1  # the last is the end token, which also opens a text
 
+def _encoder(sent):
+    """Texts as ranks of head words, -1 for another word, whose hash and group follow in order."""
 
-def item_bigrams(train: DataFrame, top: dict[int, int]) -> np.ndarray:
-    """Counts of item pairs over all training texts; a table of ITEMS**2 cells whatever the input."""
+    def run(batches):
+        codes = Codes(*sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, tails, groups = [], [], []
+                for text in texts(part.column(3)):
+                    seq = codes.of(text)
+                    low = -1 - seq[seq < 0]
+                    tails.append(np.frombuffer(codes.hashes, dtype=np.int64)[low] if len(low) else low)
+                    groups.append(np.frombuffer(codes.groups, dtype=np.int16)[low] if len(low) else low)
+                    ids.append(np.maximum(seq, -1))
+                columns = [*(part.column(i) for i in range(3)), _lists(ids, pa.int32()), _lists(tails, pa.int64()), _lists(groups, pa.int16())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ENCODED, strict=True)], schema=_ENCODED)
+
+    return run
+
+
+def _streams(batches, end: int):
+    """Slices of encoded rows as (slice, stream, tails, groups, lengths): each text follows an end token, and one closes the last."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(at, _SLICE)
+            lists = part.column(3)
+            lengths = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            stream = np.full(len(flat) + len(lengths) + 1, end, dtype=np.int64)
+            stream[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)) + 1, lengths)] = flat
+            yield part, stream, part.column(4).flatten().to_numpy(zero_copy_only=False), part.column(5).flatten().to_numpy(zero_copy_only=False), lengths
+
+
+def pair_counts(encoded: DataFrame, of_head: np.ndarray, of_group: np.ndarray | None, size: int) -> np.ndarray:
+    """Counts of neighbouring values (a small number of them); without ``of_group``, of pairs of head words only."""
     schema = pa.schema([("k", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        codes, total, held, size = Codes(top), np.zeros(ITEMS * ITEMS, dtype=np.int64), [], 0
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                seq = codes.of(text)
-                items = codes.item(seq)
-                edge = np.array([ITEMS - 1])
-                held.append(np.concatenate([edge, items]) * ITEMS + np.concatenate([items, edge]))
-                size += len(items)
-                if size > 500_000:
-                    total += np.bincount(np.concatenate(held), minlength=ITEMS * ITEMS)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=ITEMS * ITEMS)
+        total = np.zeros(size * size, dtype=np.int64)
+        for _, stream, _, groups, _ in _streams(batches, len(of_head) - 1):
+            values = of_head[stream].astype(np.int64)
+            values[stream < 0] = -1 if of_group is None else of_group[groups]
+            pairs = (values[:-1] * size + values[1:])[(values[:-1] >= 0) & (values[1:] >= 0)]
+            total += np.bincount(pairs, minlength=size * size)
         at = np.flatnonzero(total)
         yield _batch(schema, (at, total[at]))
 
-    got = train.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(ITEMS * ITEMS)
+    return _square(encoded.mapInArrow(run, "k long, n long"), size)
+
+
+def _square(pairs: DataFrame, size: int) -> np.ndarray:
+    got = pairs.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out.reshape(ITEMS, ITEMS)
+    return out.reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -190,16 +223,162 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
+def likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum())
+
+
+def contexts(encoded: DataFrame, sent) -> DataFrame:
+    """A row for each token that is no head word: its neighbours' hashes, and classes where these are head words (else -1)."""
+    schema = pa.schema([("row", pa.int64()), ("held", pa.bool_()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int16()), ("lh", pa.int64()), ("rh", pa.int64()), ("lc", pa.int16()), ("rc", pa.int16())])
+
+    def run(batches):
+        hashes, classes = sent.value
+        for part, stream, tails, groups, lengths in _streams(batches, len(hashes) - 1):
+            low = np.flatnonzero(stream < 0)
+            keys, of = hashes[stream], classes[stream]
+            keys[low], of[low] = tails, -1
+            doc = np.searchsorted(np.cumsum(lengths + 1), low - 1, side="right")
+            yield _batch(schema, (part.column(0).to_numpy()[doc], part.column(2).to_numpy(zero_copy_only=False)[doc].astype(bool), low, tails, groups, keys[low - 1], keys[low + 1], of[low - 1], of[low + 1]))
+
+    return encoded.mapInArrow(run, "row long, held boolean, pos int, h long, g short, lh long, rh long, lc short, rc short")
+
+
+def neighbour_counts(encoded: DataFrame, sent, classes: int, turn: int) -> DataFrame:
+    """h, codes, ns: how often each word whose turn it is precedes (code c) or follows (classes + c) class c, for head neighbours; in parts."""
+    schema = pa.schema([("h", pa.int64()), ("codes", pa.list_(pa.int16())), ("ns", pa.list_(pa.int32()))])
+
+    def run(batches):
+        hashes, of_head = sent.value
+        for _, stream, tails, _, _ in _streams(batches, len(hashes) - 1):
+            if len(stream) < 2:
+                continue
+            own, at = np.unique(tails, return_inverse=True)
+            names = np.concatenate([hashes, own])
+            word, of = stream.copy(), of_head[stream].astype(np.int64)
+            low = stream < 0
+            word[low], of[low] = len(hashes) + at, -1
+            mine = (names % ROUNDS == turn) & (np.arange(len(names)) != len(hashes) - 1)
+            out, into = mine[word[:-1]] & (of[1:] >= 0), mine[word[1:]] & (of[:-1] >= 0)
+            keys = np.concatenate([word[:-1][out] * (2 * classes) + of[1:][out], word[1:][into] * (2 * classes) + classes + of[:-1][into]])
+            keys, ns = np.unique(keys, return_counts=True)
+            first = np.flatnonzero(np.diff(keys // (2 * classes), prepend=-1))
+            offsets = pa.array(np.append(first, len(keys)).astype(np.int32))
+            columns = [pa.array(names[keys[first] // (2 * classes)]), pa.ListArray.from_arrays(offsets, pa.array(keys % (2 * classes), type=pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(ns, type=pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return encoded.mapInArrow(run, "h long, codes array<short>, ns array<int>")
+
+
+def best_classes(own: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class each word (numbered from 0, at home in ``own``) would rather be in, from its counts by code beside ``table``."""
+    classes = len(table)
+    keys, at = np.unique(word * (2 * classes) + code, return_inverse=True)
+    n = np.bincount(at, weights=n)
+    word, code = keys // (2 * classes), keys % (2 * classes)
+    cells = np.concatenate([table.T, table])
+    plain, edges = _xlogx(cells), (table.sum(axis=1), table.sum(axis=0))
+    best = own.copy()
+    firsts = np.flatnonzero(np.diff(word, prepend=-1))
+    for lo in range(0, len(firsts), 4096):
+        first = firsts[lo : lo + 4096]
+        till = firsts[lo + 4096] if lo + 4096 < len(firsts) else len(word)
+        part = slice(first[0], till)
+        c, m, w = code[part], n[part], word[first]
+        gain = _xlogx(cells[c] + m[:, None]) - plain[c]
+        home, rows = own[word[part]], np.arange(len(c))
+        gain[rows, home] = plain[c, home] - _xlogx(np.maximum(cells[c, home] - m, 0))
+        gain = np.add.reduceat(gain, first - first[0], axis=0)
+        home, rows = own[w], np.arange(len(w))
+        for edge, side in zip(edges, (c < classes, c >= classes), strict=True):
+            mass = np.add.reduceat(np.where(side, m, 0.0), first - first[0])
+            loss = _xlogx(edge + mass[:, None]) - _xlogx(edge)
+            loss[rows, home] = _xlogx(edge[home]) - _xlogx(np.maximum(edge[home] - mass, 0))
+            gain -= loss
+        gain[:, classes - 1] = -np.inf
+        to = gain.argmax(axis=1)
+        best[w] = np.where(gain[rows, to] > gain[rows, home] + 1e-9, to, home)
+    return best
+
+
+def _mover(sent):
+    """Rows (h, n, c, codes, ns), sorted by h, one of each word with n and c -> h, n, c after the move."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("c", pa.int16())])
+
+    def settle(t: pa.Table, table):
+        hs = t.column("h").to_numpy()
+        first = np.diff(hs, prepend=hs[0] - 1) != 0
+        word = np.cumsum(first) - 1
+        known = t.column("c").is_valid().to_numpy()
+        own = np.zeros(word[-1] + 1, dtype=np.int64)
+        count = np.zeros(word[-1] + 1, dtype=np.int64)
+        own[word[known]] = t.column("c").drop_null().to_numpy()
+        count[word[known]] = t.column("n").drop_null().to_numpy()
+        codes, ns = t.column("codes").combine_chunks(), t.column("ns").combine_chunks()
+        lengths = np.diff(codes.offsets.to_numpy())
+        c = best_classes(own, np.repeat(word, lengths), codes.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy(), table)
+        return _batch(schema, (hs[first], count, c))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            hs = rows.column("h").to_numpy()
+            cut = int(np.searchsorted(hs, hs[-1]))
+            if cut:
+                yield settle(rows.slice(0, cut).combine_chunks(), sent.value)
+            held = rows.slice(cut)
+        if held is not None:
+            yield settle(held.combine_chunks(), sent.value)
+
+    return run
+
+
 class Model:
-    """What every task needs: classes of items, log10 transitions and emission denominators, head counts."""
+    """What every task needs: classes of items, log10 transitions and emission denominators; and of head words, classes and hashes."""
+
+    def __init__(self, top, hashes, logs, of, classes, transitions, denominators):
+        self.top, self.hashes, self.logs, self.of, self.classes, self.transitions, self.denominators = top, hashes, logs, of, classes, transitions, denominators
+
+
+def encode(spark: SparkSession, stages: Stages, rows: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """row, doc_id, held, ids, tails, groups of ``rows`` (row, doc_id, held, text); ``hashes`` are of the head words by rank."""
+    keys = np.argsort(hashes[:-1])
+    sent = spark.sparkContext.broadcast((hashes[:-1][keys], keys))
+    return stages.keep(rows.mapInArrow(_encoder(sent), "row long, doc_id long, held boolean, ids array<int>, tails array<long>, groups array<short>"), "encoded")
+
 
-    def __init__(self, top, head, of, transitions, denominators):
-        self.top, self.head, self.of, self.transitions, self.denominators = top, head, of, transitions, denominators
+def _tails(encoded: DataFrame, words: DataFrame, sent, of_group) -> DataFrame:
+    """The contexts of tokens that are no head word, with their own class and count; an unseen word has its group's class."""
+    met = contexts(encoded, sent).join(words.select("h", "n", "c"), "h", "left")
+    unseen = F.element_at(F.array(*[F.lit(int(c)) for c in of_group]), F.col("g") + 1)
+    return met.withColumn("c", F.coalesce(F.col("c").cast("int"), unseen)).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def _with_left(tails: DataFrame) -> DataFrame:
+    """The class before each token: of a head word, or of the token before, which then stands at the row before."""
+    before = F.lag("c").over(Window.partitionBy("row").orderBy("pos"))
+    return tails.withColumn("lc", F.when(F.col("lc") >= 0, F.col("lc").cast("int")).otherwise(before))
+
+
+def class_table(encoded: DataFrame, tails: DataFrame, of_head: np.ndarray, classes: int) -> np.ndarray:
+    """Class bigrams of the training texts, over all words."""
+    pairs = tails.filter("NOT held").select(F.explode(F.array(F.col("lc") * classes + F.col("c"), F.when(F.col("rc") >= 0, F.col("c") * classes + F.col("rc")))).alias("k")).filter("k IS NOT NULL")
+    return pair_counts(encoded.filter("NOT held"), of_head, None, classes) + _square(pairs.select(F.col("k").cast("long").alias("k"), F.lit(1).alias("n")), classes)
 
 
 def train_model(stages: Stages, train: DataFrame):
-    """(model, staged counts h/n, N, V)."""
-    counts = stages.keep(word_counts(train), "counts")
+    """(model, staged counts h/g/n, N, V, count of the end token) of ``train`` (text)."""
+    rows = train.select(F.monotonically_increasing_id().alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held"), "text")
+    return train_encoded(stages, rows)[:5]
+
+
+def train_encoded(stages: Stages, rows: DataFrame):
+    """As train_model, of the rows (row, doc_id, held, text) that are not held, plus all rows encoded and their staged ``_tails``."""
+    spark = stages.spark
+    counts = stages.keep(word_counts(rows.filter("NOT held").select("text")), "counts")
     level = F.floor(F.log2("n") * 16).cast("int")
     total = counts.agg(F.sum("n").alias("N"), F.count("*").alias("V")).first()
     least, room = None, HEAD
@@ -207,54 +386,89 @@ def train_model(stages: Stages, train: DataFrame):
         if row["count"] > room:
             break
         room, least = room - row["count"], row["level"]
-    head = counts.filter(level >= least if least is not None else F.lit(False)).toArrow()
+    is_head = level >= least if least is not None else F.lit(False)
+    head = counts.filter(is_head).toArrow()
     hs, gs, ns = (head.column(i).to_numpy() for i in range(3))
-    order = np.lexsort((hs, -ns))
-    words = order[hs[order] != END][:TOP]
-    top = {int(hs[i]): n for n, i in enumerate(words)}
-    by_group = {r["g"]: (r["v"], r["n"]) for r in counts.filter("g >= 0").groupBy("g").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
-    distinct, mass = np.zeros(ITEMS), np.zeros(ITEMS)
-    for g, (v, n) in by_group.items():
-        distinct[TOP + g], mass[TOP + g] = v, n
-    for n, i in enumerate(words):
-        distinct[n], mass[n] = 1, ns[i]
-        distinct[TOP + gs[i]] -= 1
-        mass[TOP + gs[i]] -= ns[i]
     ends = int(ns[hs == END].sum()) if least is not None else 0
-    distinct[-1], mass[-1] = 1, ends
-    bigrams = item_bigrams(train, top)
-    of = exchange(bigrams)
-    member = np.eye(CLASSES)[of]
+    order = np.lexsort((hs, -ns))
+    order = order[hs[order] != END]
+    hashes, counted = np.append(hs[order], END), np.append(ns[order], ends)
+    top = {int(h): n for n, h in enumerate(hashes[:-1][:TOP])}
+    encoded = encode(spark, stages, rows, hashes)
+    items = np.append(TOP + gs[order], ITEMS - 1).astype(np.int64)
+    items[: len(top)] = np.arange(len(top))
+    classes = max(CLASSES, round((total["V"] or 0) ** 0.25))
+    bigrams = pair_counts(encoded.filter("NOT held"), items, np.arange(TOP, TOP + GROUPS), ITEMS)
+    of = exchange(bigrams, classes)
+    member = np.eye(classes)[of]
     table = member.T @ bigrams @ member
-    transitions = np.log10((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * CLASSES))
-    denominators = np.log10(mass @ member + ADD * (distinct @ member + 1))
-    keys = np.argsort(hs)
-    return Model(top, (hs[keys], np.log10(ns[keys] + ADD)), of, transitions, denominators), counts, total["N"] or 0, total["V"] or 0, ends
+    of_head = of[items].astype(np.int16)
+    of_group = of[TOP : TOP + GROUPS]
+    first = spark.createDataFrame([(g, int(c)) for g, c in enumerate(of_group)], "g int, c short")
+    seeded = spark.createDataFrame(pa.table({"h": hashes[: len(top)], "s": of_head[: len(top)]})) if top else spark.createDataFrame([], "h long, s short")
+    words = counts.filter(F.col("h") != END).join(F.broadcast(first), "g").join(F.broadcast(seeded), "h", "left")
+    words = stages.keep(words.select("h", "n", F.coalesce("s", "c").cast("short").alias("c")), "words")
+    sent = spark.sparkContext.broadcast((hashes, of_head))
+    tails = stages.keep(_with_left(_tails(encoded, words, sent, of_group)), "tails")
+    for turn in range(ROUNDS):
+        seen = tails.filter("NOT held")
+        beside = seen.select(F.explode(F.array(F.struct(F.col("lh").alias("h"), F.col("c").alias("code")), F.struct(F.col("rh").alias("h"), (F.col("c") + classes).alias("code")))).alias("x")).select("x.*").filter((F.col("h") != END) & (F.pmod("h", F.lit(ROUNDS)) == turn))
+        beside = beside.groupBy("h", "code").count().select("h", F.array(F.col("code").cast("short")).alias("codes"), F.array(F.col("count").cast("int")).alias("ns"))
+        parts = neighbour_counts(encoded.filter("NOT held"), sent, classes, turn).unionByName(beside).select("h", F.lit(None).cast("long").alias("n"), F.lit(None).cast("short").alias("c"), "codes", "ns")
+        own = words.select("h", "n", "c", F.array().cast("array<short>").alias("codes"), F.array().cast("array<int>").alias("ns"))
+        moved = parts.unionByName(own).repartition("h").sortWithinPartitions("h").mapInArrow(_mover(spark.sparkContext.broadcast(table)), "h long, n long, c short")
+        moved = stages.keep(moved, "words")
+        got = moved.filter(is_head).toArrow()
+        at, c = got.column(0).to_numpy(), got.column(2).to_numpy()
+        sort = np.argsort(at)
+        new = np.append(c[sort][np.searchsorted(at[sort], hashes[:-1])], classes - 1).astype(np.int16)
+        resent = spark.sparkContext.broadcast((hashes, new))
+        retails = stages.keep(_with_left(_tails(encoded, moved, resent, of_group)), "tails")
+        again = class_table(encoded, retails, new, classes)
+        if likelihood(again) < likelihood(table):
+            stages.drop(moved, retails)
+            continue
+        stages.drop(words, tails)
+        words, tails, sent, of_head, table = moved, retails, resent, new, again
+    of[: len(top)] = of_head[: len(top)]
+    distinct, mass = np.zeros(classes), np.zeros(classes)
+    for r in words.groupBy("c").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
+        distinct[r["c"]], mass[r["c"]] = r["v"], r["n"]
+    distinct[-1], mass[-1] = 1, ends
+    transitions = np.log10((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * classes))
+    denominators = np.log10(mass + ADD * (distinct + 1))
+    model = Model(top, hashes, np.log10(counted + ADD), of, of_head, transitions, denominators)
+    return model, counts, total["N"] or 0, total["V"] or 0, ends, encoded, tails
 
 
 def _scorer(sent):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("path", pa.float64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    """Scores without what hangs on a token that is no head word."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("path", pa.float64())])
+
+    def run(batches):
+        model: Model = sent.value
+        for part, stream, _, _, lengths in _streams(batches, len(model.hashes) - 1):
+            doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+            of = model.classes[stream].astype(np.int64)
+            of[stream < 0] = -1
+            before, of, own = of[:-1], of[1:], stream[1:]
+            path = np.where(of >= 0, np.where(before >= 0, model.transitions[before, of], 0.0) - model.denominators[of], 0.0)
+            inside = (own >= 0) & (own < len(model.hashes) - 1)
+            sums = [np.bincount(doc, weights=x, minlength=len(lengths)) for x in (inside, np.where(inside, model.logs[own], 0.0), path)]
+            yield _batch(schema, (*(part.column(i) for i in range(3)), lengths + 1, sums[0].astype(np.int64), sums[1], sums[2]))
+
+    return run
+
+
+def _tail_scorer(sent):
+    schema = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("path", pa.float64())])
 
     def run(batches):
         model: Model = sent.value
-        codes = Codes(model.top, model.head)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = [[] for _ in schema]
-                for row, doc_id, held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts(part.column(3)), strict=True):
-                    seq = codes.of(text)
-                    uniq, times = np.unique(seq, return_counts=True)
-                    items = codes.item(uniq)
-                    logs = codes.log(uniq)
-                    classes = np.append(model.of[items][np.searchsorted(uniq, seq)] if len(seq) else [], CLASSES - 1).astype(np.int64)
-                    path = model.transitions[np.append(CLASSES - 1, classes[:-1]), classes].sum() - model.denominators[classes].sum()
-                    inside = ~np.isnan(logs)
-                    tail = codes.hash(uniq[~inside]).tolist()
-                    values = (row, doc_id, held, len(seq) + 1, int(times[inside].sum()), float((times[inside] * logs[inside]).sum()), float(path), tail, times[~inside].tolist())
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                yield _batch(schema, out)
+            left, of, right, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 5))
+            path = model.transitions[left, of] + np.where(right >= 0, model.transitions[of, right], 0.0) - model.denominators[of]
+            yield _batch(schema, (batch.column(0), (n > 0).astype(np.int64), np.log10(n + ADD), path))
 
     return run
 
@@ -263,14 +477,13 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of ``docs``."""
     stages = Stages(spark, "classlm")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), F.col("text").cast("string").alias("text"))
-    model, counts, n, v, ends = train_model(stages, rows.filter("NOT held").select("text"))
+    model, counts, n, v, ends, encoded, tails = train_encoded(stages, rows)
     sent = spark.sparkContext.broadcast(model)
-    scored = stages.keep(rows.mapInArrow(_scorer(sent), "row long, doc_id long, held boolean, n long, known long, logs double, path double, tail array<long>, times array<int>"), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("h"), F.col("t.times").alias("times"))
-    count = F.coalesce("c", F.lit(0))
-    tail = tail.join(counts.select("h", F.col("n").alias("c")), "h", "left").groupBy("row").agg(F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(count + ADD)).alias("tail_logs"))
-    out = scored.drop("tail", "times").join(tail, "row", "left")
+    scored = encoded.mapInArrow(_scorer(sent), "row long, doc_id long, held boolean, n long, known long, logs double, path double")
+    tail = tails.select("row", "lc", "c", "rc", "n").mapInArrow(_tail_scorer(sent), "row long, known long, logs double, path double")
+    tail = tail.groupBy("row").agg(F.sum("known").alias("tail_known"), F.sum("logs").alias("tail_logs"), F.sum("path").alias("tail_path"))
+    out = scored.join(tail, "row", "left")
     logs = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) + float(np.log10(ends + ADD))
     known = F.col("known") + F.coalesce("tail_known", F.lit(0)) + (1 if ends else 0)
-    points = logs + F.col("path")
+    points = logs + F.col("path") + F.coalesce("tail_path", F.lit(0.0))
     return out.select("doc_id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (logs - F.col("n") * float(np.log10(n + ADD * (v + 1)))).alias("base_score"), points.alias("score"), F.pow(F.lit(10.0), -points / F.col("n")).alias("perplexity"))

@@ -61,3 +61,37 @@ def test_empty_and_null(spark):
     assert classlm.score(spark, spark.createDataFrame([], schema)).count() == 0
     got = classlm.score(spark, spark.createDataFrame([(None, None, 1, 1), (1, "A b", 1, 1), (1, "A b", 1, 1), (2, "", 1, 1)], schema)).collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in sorted(got, key=lambda r: (r["doc_id"] or 0, r["n_tokens"]))] == [(None, 1), (1, 3), (1, 3), (2, 1)]
+
+
+def test_rare_words_of_one_ending_get_classes_by_exchange(spark):
+    rng = np.random.default_rng(2)
+    lines = [" ".join(f"{'xy'[j % 2]}{int(k)}" for j, k in enumerate(rng.integers(0, 225, 40))) for _ in range(200)]
+    lines += [f"x{2 * i} y{i} qax_end y{i + 1} x{i}" for i in range(4)] + [f"y{2 * i} x{i} qbx_end x{i + 1} y{i}" for i in range(4)]
+    assert classlm.group_of(b"qax_end") == classlm.group_of(b"qbx_end")
+    asked = ["y1 qax_end y2", "y1 qbx_end y2", "x1 qax_end x2", "x1 qbx_end x2"]
+    docs = spark.createDataFrame([*((i, t) for i, t in enumerate(lines) if zlib.crc32(str(i).encode()) % 10), *((i, t) for i, t in enumerate(lines, 1000) if zlib.crc32(str(i).encode()) % 10 and "end" in t), *((-i - 1, t) for i, t in enumerate(asked))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in classlm.score(spark, docs).filter("doc_id < 0").collect()}
+    assert got[-1] > got[-2] and got[-4] > got[-3]
+
+
+def test_head_is_only_a_shortcut(spark, sf_tiny, monkeypatch):
+    docs = spark.read.parquet(f"{sf_tiny}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: (r["n_known"], pytest.approx(r["score"], rel=1e-9)) for r in classlm.score(spark, docs).collect()}
+    monkeypatch.setattr(classlm, "HEAD", 1000)
+    assert {r["doc_id"]: (r["n_known"], r["score"]) for r in classlm.score(spark, docs).collect()} == want
+
+
+def test_best_classes_grow_the_likelihood():
+    rng = np.random.default_rng(3)
+    bigrams = rng.integers(0, 5, (31, 31)).astype(float)
+    of = np.append(rng.integers(0, 4, 30), 4)
+    member = np.eye(5)[of]
+    table = member.T @ bigrams @ member
+    for w in range(30):
+        code = np.concatenate([of, of + 5])
+        n = np.concatenate([bigrams[w], bigrams[:, w]])
+        best = classlm.best_classes(of[[w]], np.zeros(62, dtype=np.int64), code, n, table)[0]
+        moved = of.copy()
+        moved[w] = best
+        member = np.eye(5)[moved]
+        assert best == of[w] or classlm.likelihood(member.T @ bigrams @ member) > classlm.likelihood(table) - 1
