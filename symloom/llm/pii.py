@@ -38,8 +38,9 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-#: What a text must hold before a pattern is tried.
-NEEDS = {"email": r"@|\bat\b.{0,80}\bdot\b", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]", "phone": r"[0-9]"}
+#: What a text must hold before a pattern is tried; every match of the pattern holds it.
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]", "phone": r"[0-9]"}
+LOOSE_NEEDS = NEEDS | {"email": r"(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{2}"}
 CUES = {
     "email": r"(?:e-?mail|mailto|contact|write to|correo|courriel|schreib)\W*(?:\w+\W+)?$",
     "ip": r"(?:\bip|host|server|address|adresse|addr|client|peer)\W*(?:\w+\W+)?$",
@@ -121,7 +122,7 @@ def candidates(text: Column) -> Column:
     """All candidates of a text in order: base patterns, and loose ones clear of passing base spans."""
     none = F.array().cast(_CAND)
     strict = [F.when(text.rlike(NEEDS[k]), _labelled(text, k, matches(text, BASE[k]), True)).otherwise(none) for k in KINDS]
-    loose = [F.when(text.rlike(NEEDS[k]), _labelled(text, k, matches(text, LOOSE[k]), False)).otherwise(none) for k in KINDS]
+    loose = [F.when(text.rlike(LOOSE_NEEDS[k]), _labelled(text, k, matches(text, LOOSE[k]), False)).otherwise(none) for k in KINDS]
     return F.struct(F.concat(*strict).alias("strict"), F.concat(*loose).alias("loose"))
 
 

@@ -74,3 +74,22 @@ def test_empty_table_and_extra_columns(spark):
     assert pii.detect(docs).count() == 0
     docs = spark.createDataFrame([(None, "a@b.c", "z", 1), (1, "a@b.c", None, None), (1, "a@b.c", None, None)], "doc_id long, text string, base string, kind int")
     assert [len(r["base"]) for r in pii.detect(docs).collect()] == [1, 1, 1]
+
+
+SPELT = ["write jane (at) example.com", "write jane[at]example.com", "jane at example.com", "jane(at)example dot com", "jane (at) example (dot) com", "jane\n(at) example.com", "nothing at all", "8 at 10.30"]
+
+
+def test_loose_candidates_do_not_hang_on_other_text(spark):
+    rows = [(2 * i + j, t + rest) for i, t in enumerate(SPELT) for j, rest in enumerate(("", " | @"))]
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["loose"] if x["kind"] == 0] for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(SPELT):
+        want = [m.span() for m in re.finditer(pii.LOOSE["email"], t)]
+        assert found[2 * i] == found[2 * i + 1] == want, t
+    assert found[0] and found[2] and found[4] and found[6]
+
+
+def test_every_loose_match_passes_its_gate():
+    texts = {"email": SPELT, "ip": ["a:b:c:d:e:f:0:1", "1:2:3:4:5:6:7:8"], "card": ["4111.1111.1111.1111"], "phone": ["(212) 555-0188", "212 555 0188"]}
+    for kind, some in texts.items():
+        for t in some:
+            assert not re.search(pii.LOOSE[kind], t) or re.search(pii.LOOSE_NEEDS[kind], re.search(pii.LOOSE[kind], t)[0]), t
