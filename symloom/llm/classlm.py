@@ -389,7 +389,7 @@ def train_encoded(stages: Stages, rows: DataFrame):
     is_head = level >= least if least is not None else F.lit(False)
     head = counts.filter(is_head).toArrow()
     hs, gs, ns = (head.column(i).to_numpy() for i in range(3))
-    ends = int(ns[hs == END].sum()) if least is not None else 0
+    ends = counts.filter(F.col("h") == END).agg(F.sum("n")).first()[0] or 0
     order = np.lexsort((hs, -ns))
     order = order[hs[order] != END]
     hashes, counted = np.append(hs[order], END), np.append(ns[order], ends)

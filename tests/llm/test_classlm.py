@@ -95,3 +95,14 @@ def test_best_classes_grow_the_likelihood():
         moved[w] = best
         member = np.eye(5)[moved]
         assert best == of[w] or classlm.likelihood(member.T @ bigrams @ member) > classlm.likelihood(table) - 1
+
+
+@pytest.mark.parametrize("head", [0, 2])
+def test_end_token_below_the_head(spark, monkeypatch, head):
+    monkeypatch.setattr(classlm, "HEAD", head)
+    docs = [(i, "a b " * 40 + "c") for i in range(12)]
+    want = brute(docs)
+    for r in classlm.score(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        held, tokens, known, n, base = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
