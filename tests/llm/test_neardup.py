@@ -65,3 +65,29 @@ def test_pruning_bounds_follow_the_posterior():
     need = neardup.least_matches(80)
     assert list(need) == [16, 32, 48, 64]
     assert all(0 < need[n] < 0.8 * n for n in need)
+
+
+def test_large_groups_with_few_links(spark):
+    """Near copies of one text, most of them too far apart to link, and a family among them that differs from it in one way."""
+    pick = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [pick.choice(vocabulary) for _ in range(120)]
+    other = base[:80] + [pick.choice(vocabulary) for _ in range(40)]
+    rows = []
+    for n in range(260):
+        edited = list(other if n % 4 == 0 else base)
+        for _ in range(pick.choice([0, 1, 3, 5, 6, 7, 8, 9, 12, 16])):
+            edited[pick.randrange(len(edited))] = pick.choice(vocabulary)
+        rows.append((1000 - n, " ".join(edited)))
+    for width in (2, 5):
+        check(spark, rows, width)
+
+
+def test_shared_ids_and_null_ids_keep_their_texts_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(9, a), (9, b), (3, a + " x"), (4, b + " x"), (None, a + " y"), (None, b + " y"), (None, "z z z"), (9, None)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == sorted([("9", 39, "3", False), ("9", 39, "3", False), ("3", 40, "3", True), ("4", 40, "3", False), ("None", 40, "3", False), ("None", 40, "3", False), ("None", 1, "None", True), ("9", 0, "9", True)])
+    del rows[:2]  # without the shared id nothing joins the two
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {(3, 40, 3), (4, 40, 4), (None, 40, 3), (None, 40, 4), (None, 1, None), (9, 0, 9)}
