@@ -1,7 +1,7 @@
 """Maximal repeats from an enhanced suffix array.
 
 The suffix array comes from prefix doubling; the ranks of every doubling step are kept, so common
-prefixes of neighbours are read off them. A stack scan over the prefix lengths walks the tree of
+prefixes of neighbours are read off them (suffixes of short texts are sorted as they are). A stack scan over the prefix lengths walks the tree of
 common-prefix intervals; an interval whose occurrences are preceded by different bytes cannot be
 extended to the left, and its string is a maximal repeat with all its occurrences, not just
 neighbouring ones.
@@ -85,6 +85,26 @@ def _laid_out(texts: list[bytes], least: int):
     return starts, order, common_prefixes(order, steps), before
 
 
+def _short_laid_out(texts: list[bytes], least: int):
+    """As ``_laid_out``, of the suffixes of at least ``least`` bytes only (no others begin a repeat), for texts not much longer than that."""
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    suffixes = [t[p:] for t in texts for p in range(len(t) - least + 1)]
+    at = np.concatenate([np.arange(a, a + max(0, len(t) - least + 1)) for a, t in zip(starts.tolist(), texts, strict=False)])
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    before = np.full(int(starts[-1]), -1, dtype=np.int64)
+    before[1:] = np.frombuffer(b"\0".join(texts), dtype=np.uint8)
+    before[starts[:-1]] = -1
+    if len(order) < 2:
+        return starts, at[order], np.zeros(len(order), dtype=np.int64), before
+    ranked = [suffixes[i] for i in order]
+    sizes = np.fromiter(map(len, ranked), dtype=np.int64, count=len(ranked))
+    width = int(sizes.max())
+    grid = np.frombuffer(b"".join([s.ljust(width, b"\0") for s in ranked]), dtype=np.uint8).reshape(-1, width)
+    apart = grid[1:] != grid[:-1]
+    lcp = np.where(apart.any(axis=1), apart.argmax(axis=1), width)
+    return starts, at[order], np.concatenate([[0], np.minimum(lcp, np.minimum(sizes[1:], sizes[:-1]))]), before
+
+
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(text, offset), ...]) of every maximal repeat of at least ``least`` bytes in the texts.
 
@@ -116,7 +136,8 @@ def later_occurrences(texts: list[bytes], least: int) -> list[tuple[int, int, in
     already go in a longer repeat, so the work is linear in the suffixes however deep the tree is."""
     if not texts:
         return []
-    starts, order, lcp, before = _laid_out(texts, least)
+    short = max(map(len, texts)) <= 4 * least
+    starts, order, lcp, before = (_short_laid_out if short else _laid_out)(texts, least)
     cover = np.zeros(int(starts[-1]) + 1, dtype=np.int64)
     spots, lengths = [], []
 
