@@ -107,13 +107,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-OP3_SQL = f"""
+#: What SQL can tell of op3: sizes and targets. tests/llm/test_mixing.py holds the query against it.
+OP3_SQL = """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM s0),
 s2 AS (SELECT *, sid % 3 + 1 AS w, sum(source_size) OVER () AS total, 3 * source_size / (sid % 3 + 1) AS r FROM s1),
 s3 AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY r, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER (ORDER BY r DESC, sid DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS l FROM s2),
-lv AS (SELECT min(l) AS l FROM s3 WHERE l <= r),
+lv AS (SELECT l FROM s3 WHERE l <= r ORDER BY r, sid LIMIT 1),
 s AS (SELECT source, sid, source_size, CASE WHEN w * lv.l > 3 * source_size THEN 3.0 * source_size ELSE w * lv.l END AS target FROM s3, lv)
 SELECT d.doc_id, d.source, d.size, s.source_size, CAST(s.target AS DOUBLE) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 """
