@@ -47,3 +47,26 @@ def test_few_rows(spark):
     assert run(spark, [(0, [1.0])], "true") == []
     assert run(spark, [], "true") == []
     assert run(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id = 1") == [(1, 1, 0, 131072), (1, 2, 0, 131072)]
+
+
+def test_large_components_and_repeated_queries(spark):
+    rows = [(0, [1.0, 2.0]), (1, [5000000.0, 3.0]), (2, [20000.0, -20000.0]), (3, [0.5, 0.25]), (4, [3e9, 1.0]), (5, [-1e12, 0.0]), (6, [16384.0, 16384.0])]
+    assert run(spark, rows, "vec_id IN (0, 3)") == brute(rows, lambda i: i in (0, 3))
+    small = [r for r in rows if r[0] not in (4, 5)]
+    assert run(spark, small, "true") == brute(small, lambda i: True)
+    twice = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])]
+    assert run(spark, twice, "vec_id = 0") == [(0, 1, 3, 196608), (0, 2, 2, 131072), (0, 3, 1, 65536)]
+    other = [*twice, (0, [-1.0, 0.0])]
+    assert run(spark, other, "vec_id = 0") == sorted([(0, 1, 3, 196608), (0, 2, 2, 131072), (0, 3, 1, 65536), (0, 1, 2, 0), (0, 2, 1, -65536), (0, 3, 3, -65536)])
+
+
+def test_scores_beyond_a_long_are_an_error():
+    import pytest
+
+    huge = mtree.compact(np.floor(np.array([[1e300, 1.0], [2.0, 3.0]])))
+    tree = mtree.MTree(np.array([7, 8]), huge)
+    best: list = []
+    tree.search(np.array([0, 5]), 1, best, 2)
+    assert sorted(best) == [(5, -7), (15, -8)]
+    with pytest.raises(OverflowError):
+        tree.search(np.array([5, 5]), 1, [], 2)
