@@ -69,14 +69,18 @@ def _occurrences(cols):
         n = len(keys) - len(ids)
         ids += [doc_id] * n
         uids += [uid] * n
-    return {"key": np.array(keys, dtype=np.int64), "uid": np.array(uids, dtype=np.int32), "id": np.array(ids, dtype=np.int64), "line": np.array(lines, dtype=np.int32), "head": np.array(heads, dtype=np.int32)} if ids else None
+    return {"key": np.array(keys, dtype=np.int64), "uid": np.array(uids, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "line": np.array(lines, dtype=np.int32), "head": np.array(heads, dtype=np.int32)} if ids else None
 
 
 def dropped(stages: Stages, rows: DataFrame, min_docs: int) -> DataFrame:
     """id, uid, lines (numbers of the lines to drop, ascending) of rows (id, uid: hash of the text, text)."""
-    seen = stages.keep(arrow_map(rows, "key long, uid int, id long, line int, head int", _occurrences), "lines")
-    held = seen.groupBy("key").agg(F.sum("head").alias("n"), F.min("id").alias("first"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
-    recurring = held.filter((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi"))).select("key", "first")
+    seen = stages.keep(arrow_map(rows, "key long, uid long, id long, line int, head int", _occurrences), "lines")
+    many = stages.keep(rows.groupBy("id", "uid").agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
+    heads, weight = seen, F.col("head").cast("double")
+    if not many.isEmpty():  # each of a document's repeated rows counts for its share of it
+        heads, weight = seen.join(many, ["id", "uid"], "left"), F.col("head") / F.coalesce("times", F.lit(1))
+    held = heads.groupBy("key").agg(F.sum(weight).alias("n"), F.min("id").alias("first"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    recurring = stages.keep(held.filter((F.col("n") > min_docs - 0.5) & (F.col("lo") < F.col("hi"))).select("key", "first"), "recurring")
     hits = seen.select("key", "id", "uid", "line").join(recurring, "key").filter("id <> first")
     return hits.groupBy("id", "uid").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
@@ -102,11 +106,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS) -
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {n: f"c{i}" for i, n in enumerate(names)}
-    rows = plain.select(F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(F.col(at["text"]).cast("string")).alias("uid"), F.col(at["text"]).cast("string").alias("text"))
+    rows = plain.select(F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col(at["text"]).cast("string")).alias("uid"), F.col(at["text"]).cast("string").alias("text"))
     gone = dropped(stages, rows, min_docs).select(F.col("id").alias("_id"), F.col("uid").alias("_uid"), F.col("lines").alias("_lines"))
     keep = [c for n, c in at.items() if n != "text"]
     plain = plain.withColumn(at["text"], F.col(at["text"]).cast("string"))
-    same = (F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NULL_ID)) == F.col("_id")) & (F.hash(at["text"]) == F.col("_uid"))
+    same = (F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NULL_ID)) == F.col("_id")) & (F.xxhash64(at["text"]) == F.col("_uid"))
     both = plain.join(gone, same, "left").select(*keep, F.col(at["text"]).alias("text"), "_lines")
     kinds = {f.name: f.dataType.simpleString() for f in both.schema}
     schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ["text string", "_dropped long", "_total long"])

@@ -58,3 +58,21 @@ def test_empty_and_null_ids(spark):
     assert linededup.drop_lines(spark, spark.createDataFrame([], schema)).count() == 0
     docs = spark.createDataFrame([(None, "the same line"), (1, "the same line"), (2, "the same line\nb"), (2, "the same line\nb")], schema)
     assert sorted((str(r["doc_id"]), r["text"]) for r in linededup.drop_lines(spark, docs).collect()) == [("1", "the same line"), ("2", "b"), ("2", "b"), ("None", "")]
+
+
+def test_repeated_rows_are_one_document(spark):
+    line = "one line that several documents hold"
+    for rows in ([(1, line), (2, line + "\nb")], [(1, line), (2, line + "\nb"), (2, line + "\nb")], [(1, line)] * 3 + [(2, line + "\nb")] * 4, [(1, line), (2, line + "\nb"), (2, line + "\nc")]):
+        got = {(r["doc_id"], r["text"]) for r in linededup.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want = brute_rows(rows)
+        assert got == want
+
+
+def brute_rows(rows):
+    held = defaultdict(set)
+    for i, t in rows:
+        for x in t.split("\n"):
+            for k in keys(x):
+                held[k].add((i, t))
+    gone = {k: min(i for i, _ in v) for k, v in held.items() if len(v) >= 3 and len({t for _, t in v}) > 1}
+    return {(i, "\n".join(x for x in t.split("\n") if not any(k in gone and gone[k] != i for k in keys(x)))) for i, t in rows}
