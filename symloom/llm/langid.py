@@ -2,15 +2,16 @@
 
 Four kinds of evidence meet in one posterior per row:
 
-* text: hashed character trigrams under a multinomial per language, tempered because trigrams
-  overlap; a flat model stands for text in no known language (``und``);
+* text: hashed character trigrams of the whole text under a multinomial per language. Trigrams overlap and
+  follow one another, so their mean log-likelihood counts as that of ``TEMPER * min(n, REACH)`` independent
+  ones: evidence saturates with length. A flat model stands for text in no known language (``und``);
 * the declared markup language, with the reliability P(declared | language) counted over all rows;
 * the address suffix (a two-letter first path segment, else the last label of the host), likewise;
 * the host prior: counts of text posteriors per host, smoothed towards those of the registered domain,
   which are smoothed towards those of all rows.
 
-All counts are grouped sums over every row. Only the text model is fitted on a sample: the
-``TRAIN_ROWS`` labelled rows with the smallest hash of their id, whose trigrams are counted whole.
+All counts are grouped sums over every row. Only the text model is fitted on a sample: for every label
+that any row has, the ``TRAIN_ROWS`` rows with the smallest hash of their id, whose trigrams are counted whole.
 Texts are read once; from there on a row is a vector of log-likelihoods and three short strings.
 
 Defined results: a text without a letter (null, empty, digits only) is ``und`` and not kept; missing
@@ -25,18 +26,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stages, texts
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 1000
 BUCKETS = 2**13
 TEMPER, REACH = 0.2, 600
 UND = "und"
 UND_PRIOR = 0.02
 KAPPA = 20.0
 LEAST = 0.5
+REGISTRY = r"\.(?:ac|co|com|edu|gov|net|or|org)\.[a-z]{2}$"
 EVIDENCE = "doc_id long, page_id long, declared string, suffix string, host string, domain string, n long, ll array<double>"
 _TAG = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _LANG = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)")
@@ -81,10 +83,11 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
-    """Trigram model of labelled (doc_id, text, lang) from at most ``train_rows`` rows."""
+    """Trigram model of labelled (doc_id, text, lang) from at most ``train_rows`` rows of each language."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), primary(F.col("lang")).alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL")
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # a task sends ``train_rows`` a language
+    chosen = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_rows).select("lang", "doc_id").distinct()
+    sample = rows.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("k", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
@@ -112,12 +115,17 @@ def document_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.lit(False).alias("markup"), F.col("text").cast("string").alias("raw"), primary(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit("documents").alias("domain"))
 
 
+def registered(host: Column) -> Column:
+    """The last two labels of a host, or three where the last but one is a registry's own under a country code."""
+    return F.when(host.rlike(REGISTRY), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """Rows of evidence from pages: the markup declares the language."""
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     path = F.lower(F.regexp_extract("url", r"^[^:]+://[^/?#]+/([A-Za-z]{2})(?:[/?#-]|$)", 1))
     suffix = F.when(path != "", F.concat(F.lit("/"), path)).otherwise(F.concat(F.lit("."), F.substring_index(host, ".", -1)))
-    return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.lit(True).alias("markup"), F.col("html").cast("string").alias("raw"), F.lit(None).cast("string").alias("declared"), suffix.alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"))
+    return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.lit(True).alias("markup"), F.col("html").cast("string").alias("raw"), F.lit(None).cast("string").alias("declared"), suffix.alias("suffix"), host.alias("host"), registered(host).alias("domain"))
 
 
 def _weigh(sent):
@@ -171,7 +179,7 @@ def fuse(stages: Stages, weighed: DataFrame, codes: list[str]) -> DataFrame:
 
     hosts = counted("host", "domain").groupBy("host").agg(F.max("domain").alias("domain"), *[F.sum(F.element_at("m", i + 1)).alias(f"m{i}") for i in range(size)]).select("host", "domain", masses.alias("m"))
     domains = counted("domain").select("domain", smoothed(F.col("m"), share).alias("towards"))
-    hosts = hosts.join(domains, "domain", "left").select("host", smoothed(F.col("m"), F.coalesce("towards", share)).alias("prior"))
+    hosts = stages.keep(hosts.join(domains, "domain", "left").select("host", smoothed(F.col("m"), F.coalesce("towards", share)).alias("prior")), "hosts")  # written, so that the join below can split a hot host
 
     def reliability(by):
         seen = counted(by)

@@ -36,3 +36,27 @@ def test_address_and_host_decide_where_text_does_not(spark):
     pages = [(i, f"https://h.example.org/de/{i}", "<html lang=de>der die und das nicht") for i in range(40)] + [(99, "https://h.example.org/de/99", "<html lang=de>xq")]
     got = langid.identify(spark, langid.page_rows(spark.createDataFrame(pages, "page_id long, url string, html string")), langid.fit(docs))
     assert got.filter("page_id = 99").first()["lang"] == "de"
+
+
+def test_held_out_rows_without_their_label(spark):
+    """The declared label is no evidence here: fitted on two thirds of the rows, the rest is told by text and source alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rest = docs.filter("doc_id % 3 = 0")
+    got = {r["doc_id"]: r for r in langid.identify(spark, langid.document_rows(rest.withColumn("lang", langid.F.lit(None).cast("string"))), langid.fit(docs.filter("doc_id % 3 > 0"))).collect()}
+    rows = rest.filter("n_chars >= 40").collect()
+    assert len(got) == rest.count()
+    assert sum(got[r["doc_id"]]["lang"] == r["lang"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_rare_languages_have_a_class(spark):
+    rows = [(n, "the and of that this with", "en") for n in range(300)] + [(1000 + n, "og ikke det som har", "no") for n in range(3)] + [(None, "x y z", "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=20)
+    assert model.codes == ["en", "no", "und"]
+    _, ll = model.likelihoods(b"det har ikke som")
+    assert max(range(3), key=ll.__getitem__) == 1
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.example.co.uk", "example.co.uk", "x.example.de", "com", "a.com.br", None]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in hosts], "host string").select(langid.registered(langid.F.col("host"))).collect()]
+    assert got == ["example.co.uk", "example.co.uk", "example.de", "com", "a.com.br", None]
