@@ -17,10 +17,12 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one, but only on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_root:
         held = tempfile.TemporaryDirectory(prefix="symloom-", ignore_cleanup_errors=True)
         atexit.register(held.cleanup)
@@ -29,7 +31,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Stages:
-    """Tables written by one run. A lost executor costs a re-read, never the whole lineage."""
+    """Tables written by one run. A lost executor costs a re-read, never the whole lineage. They go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -40,6 +42,9 @@ class Stages:
         path = f"{self.base}/{self.made:03d}-{label}"
         self.made += 1
         (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+        if self.made == 1:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

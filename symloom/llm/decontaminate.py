@@ -152,12 +152,12 @@ def _searcher(sent):
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, distance, end_word, n_words: the nearest passage of each item in each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * block_words)))
     found = None
     for b in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow()
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
         sent = spark.sparkContext.broadcast(Items(list(zip(mine.column(0).to_pylist(), (t.encode() for t in mine.column(1).to_pylist()), strict=True))))
         part = arrow_map(docs, "doc_id long, item_id long, distance int, end_word long, n_words int", _searcher(sent))
         found = part if found is None else found.unionByName(part)
