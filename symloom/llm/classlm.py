@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,28 +91,33 @@ class Codes(dict):
         self.clear()
         self.hashes, self.groups = array("q"), array("h")
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        at = int(np.searchsorted(self.keys, h))
-        if at < len(self.keys) and self.keys[at] == h:
-            code = int(self.ranks[at])
-        else:
-            code = -1 - len(self.hashes)
-            self.hashes.append(h)
-            self.groups.append(group_of(word))
-        self[word] = code
-        return code
-
-    def of(self, text: bytes) -> np.ndarray:
+    def learn(self, words) -> None:
+        """Codes for the words that have none yet, all at once."""
         if len(self) > _FLUSH:
             self.reset()
-        words = text.lower().split()
+        new = list(set(words).difference(self))
+        if not new:
+            return
+        hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(new), dtype=bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        codes = np.empty(len(new), dtype=np.int64)
+        codes[known] = self.ranks[at[known]]
+        codes[~known] = -1 - len(self.hashes) - np.arange(int((~known).sum()))
+        self.hashes.extend(hashes[~known].tolist())
+        self.groups.extend([group_of(new[i]) for i in np.flatnonzero(~known).tolist()])
+        self.update(zip(new, codes.tolist(), strict=True))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 ITEMS = TOP + GROUPS + 1  # the last is the end token, which also opens a text
 _ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("ids", pa.list_(pa.int32())), ("tails", pa.list_(pa.int64())), ("groups", pa.list_(pa.int16()))])
 _SLICE = 4096
+_BLOCK_BYTES = 1 << 22
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -119,17 +125,30 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0), type=kind, safe=False))
 
 
+def _text_blocks(batch: pa.RecordBatch):
+    """(rows, their texts) of a batch, in runs of up to 512 rows or about ``_BLOCK_BYTES``."""
+    found, at = texts(batch.column(3)), 0
+    while at < len(found):
+        end, size = at, 0
+        while end < len(found) and end - at < 512 and size < _BLOCK_BYTES:
+            size += len(found[end])
+            end += 1
+        yield batch.slice(at, end - at), found[at:end]
+        at = end
+
+
 def _encoder(sent):
     """Texts as ranks of head words, -1 for another word, whose hash and group follow in order."""
 
     def run(batches):
         codes = Codes(*sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part, block in _text_blocks(batch):
+                split = [t.lower().split() for t in block]
+                codes.learn(chain.from_iterable(split))
                 ids, tails, groups = [], [], []
-                for text in texts(part.column(3)):
-                    seq = codes.of(text)
+                for words in split:
+                    seq = codes.of(words)
                     low = -1 - seq[seq < 0]
                     tails.append(np.frombuffer(codes.hashes, dtype=np.int64)[low] if len(low) else low)
                     groups.append(np.frombuffer(codes.groups, dtype=np.int16)[low] if len(low) else low)
