@@ -56,23 +56,55 @@ SHAPES = {
 }
 LABELERS = ("validator", "cue", "against", "edge", "shape")
 REACH = 32
+BLOCK = 128
 THRESHOLD = 0.5
-_SPAN = "array<struct<start:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 _CAND = "array<struct<start:int,kind:int,end:int,base:boolean,votes:array<int>,size:int>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """start, end and value of every match: split() and regexp_extract_all() find the same ones in turn."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast(_SPAN)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(parts: Column) -> Column:
+    """struct(at: their length, tail: their last ``REACH`` characters, spans: of those that have a hit) of parts."""
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+        start, lead = acc["at"] + F.length(x["gap"]), F.right(F.concat(acc["tail"], x["gap"]), F.lit(REACH))
+        hit = F.coalesce(x["hit"], F.lit(""))
+        end = start + F.length(hit)
+        after = F.left(F.concat(F.coalesce(x["gap_after"], F.lit("")), F.coalesce(x["hit_after"], F.lit(""))), F.lit(1))
+        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), lead.alias("before"), after.alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat(lead, hit), F.lit(REACH)).alias("tail"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("spans")), step)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """start, end, value of every match, the ``REACH`` characters before it and the one after: split() and
+    regexp_extract_all() find the same matches in turn.
+
+    Appending copies an array, so offsets run within blocks of ``BLOCK`` matches, and the blocks' own
+    offsets over the blocks: a text of many matches costs little more than in proportion to them."""
+    two = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    rest = lambda x: F.slice(x, F.lit(2), F.size(x))
+    parts = lambda x: F.arrays_zip(x["gap"].alias("gap"), x["hit"].alias("hit"), rest(x["gap"]).alias("gap_after"), rest(x["hit"]).alias("hit_after"))
+
+    def joined(blocks):
+        none = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<at:int,tail:string>>").alias("starts"))
+        starts = F.aggregate(blocks, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), x["tail"].alias("tail"), F.concat(acc["starts"], F.array(F.struct(acc["at"].alias("at"), acc["tail"].alias("tail")))).alias("starts")), lambda acc: acc["starts"])
+
+        def moved(x, by):
+            return F.transform(x["spans"], lambda s: F.struct((s["start"] + by["at"]).alias("start"), (s["end"] + by["at"]).alias("end"), s["value"].alias("value"), F.when(F.length(s["before"]) < REACH, F.right(F.concat(by["tail"], s["before"]), F.lit(REACH))).otherwise(s["before"]).alias("before"), s["after"].alias("after")))
+
+        return F.flatten(F.zip_with(blocks, starts, moved))
+
+    def spans(parts):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: _running(F.slice(parts, b * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(parts) <= BLOCK, _running(parts)["spans"]).otherwise(_bound(blocks, joined))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return _bound(two, lambda x: _bound(parts(x), spans))
 
 
 def luhn(value: Column) -> Column:
@@ -96,14 +128,12 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _labelled(text: Column, kind: str, spans: Column, strict: bool) -> Column:
+def _labelled(kind: str, spans: Column, strict: bool) -> Column:
     """Candidates of one kind with their votes."""
 
     def one(x):
         value = x["value"]
-        before = F.lower(text.substr(F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))))
-        edge = text.substr(F.greatest(x["start"], F.lit(1)), F.lit(1))
-        after = text.substr(x["end"] + 1, F.lit(1))
+        before, edge, after = F.lower(x["before"]), F.right(x["before"], F.lit(1)), x["after"]
         open_left = (x["start"] == 0) | ~edge.rlike(r"[\p{L}0-9_]")
         votes = F.array(
             F.when(valid(kind, value), 1).otherwise(-1) if strict else F.lit(0),
@@ -121,8 +151,8 @@ def _labelled(text: Column, kind: str, spans: Column, strict: bool) -> Column:
 def candidates(text: Column) -> Column:
     """All candidates of a text in order: base patterns, and loose ones clear of passing base spans."""
     none = F.array().cast(_CAND)
-    strict = [F.when(text.rlike(NEEDS[k]), _labelled(text, k, matches(text, BASE[k]), True)).otherwise(none) for k in KINDS]
-    loose = [F.when(text.rlike(LOOSE_NEEDS[k]), _labelled(text, k, matches(text, LOOSE[k]), False)).otherwise(none) for k in KINDS]
+    strict = [F.when(text.rlike(NEEDS[k]), _labelled(k, matches(text, BASE[k]), True)).otherwise(none) for k in KINDS]
+    loose = [F.when(text.rlike(LOOSE_NEEDS[k]), _labelled(k, matches(text, LOOSE[k]), False)).otherwise(none) for k in KINDS]
     return F.struct(F.concat(*strict).alias("strict"), F.concat(*loose).alias("loose"))
 
 

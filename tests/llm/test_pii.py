@@ -93,3 +93,30 @@ def test_every_loose_match_passes_its_gate():
     for kind, some in texts.items():
         for t in some:
             assert not re.search(pii.LOOSE[kind], t) or re.search(pii.LOOSE_NEEDS[kind], re.search(pii.LOOSE[kind], t)[0]), t
+
+
+def test_many_matches_in_one_text(spark):
+    """Offsets hold over blocks, and time grows with the number of matches, not with its square."""
+    import time
+
+    def took(n):
+        text = "".join(f"é{i} a{i}@b.org 10.0.{i % 300}.7, " for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        got = pii.detect(docs).select(pii.label(pii.F.col("base")).alias("s")).first()["s"]
+        assert got == ",".join(brute(text))
+        return time.time() - began
+
+    for n in (0, 128, 257):
+        took(n)
+    small, large = took(300), took(2400)
+    assert large < 8 * 3 * max(small, 0.5)
+
+
+def test_added_spans_by_hand(spark):
+    """What the method adds to the base: spelt-out and unusual forms beside cue words, not numbers that cue words speak against."""
+    rows = [(1, "please contact jane (at) example.org today"), (2, "call me: (212) 555-0188 now"), (3, "my card 4111.1111.1111.1111 is new"), (4, "nothing here"), (5, "build version 212 555 0188abc")] * 1
+    rows += [(100 + i, f"phone: (212) 555-{1000 + i} and email: user{i} at mail.example.com") for i in range(60)]
+    got = {r["doc_id"]: r["s"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.label(pii.F.col("added")).alias("s")).collect()}
+    assert got[1] == "email:15:36" and got[2] == "phone:9:23" and got[3] == "card:8:27" and got[4] == ""
+    assert all(got[100 + i].startswith("phone:7:21,email:33:") for i in range(60))
