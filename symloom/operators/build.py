@@ -30,6 +30,12 @@ def _get(variant: str, path: str, kind: str) -> Column:
     return F.try_variant_get(F.col(variant), path, kind)
 
 
+def _held(variant: str, path: str) -> Column:
+    """Whether a field is there and no JSON null, which the format writes for what is absent."""
+    found = _get(variant, path, "variant")
+    return found.isNotNull() & ~F.is_variant_null(found)
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """package, id, tag and the scalar fields of every item, with its ordered id lists."""
     rows = docjson.items(docs)
@@ -48,7 +54,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         "package", "id", "tag", kind.alias("kind"), _get("item", "$.name", "string").alias("name"), F.coalesce(_get("item", "$.docs", "string"), F.lit("")).alias("docs"), public.alias("is_public"), (visibility == "public").alias("shown"),
         F.when(F.col("tag").isin("module", "trait", "impl"), ids("$.items")).when(F.col("tag") == "enum", ids("$.variants")).otherwise(fields).alias("members"), F.when(F.col("tag").isin("struct", "enum", "union"), ids("$.impls")).otherwise(F.array().cast("array<string>")).alias("impls"), fields.alias("fields"),
         F.coalesce(_get("body", "$.has_body", "boolean"), F.lit(False)).alias("has_body"), gate.alias("feature_gate"), span.alias("span"),
-        _get("body", "$.trait.path", "string").alias("trait_path"), _get("body", "$.blanket_impl", "variant").isNotNull().alias("blanket"), F.coalesce(_get("body", "$.is_synthetic", "boolean"), F.lit(False)).alias("synthetic"),
+        _get("body", "$.trait.path", "string").alias("trait_path"), _held("body", "$.blanket_impl").alias("blanket"), F.coalesce(_get("body", "$.is_synthetic", "boolean"), F.lit(False)).alias("synthetic"),
         _get("body", "$.for.resolved_path.id", "string").alias("for_id"), _get("body", "$.for.resolved_path.path", "string").alias("for_path"),
         _get("body", "$.source", "string").alias("use_source"), _get("body", "$.name", "string").alias("use_name"), _get("body", "$.id", "string").alias("use_id"), F.coalesce(_get("body", "$.is_glob", "boolean"), F.lit(False)).alias("is_glob"),
         F.to_json("item").alias("json"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom import schemas
+from symloom.functions import text as T
 
 LIMIT = 20
 # Points of a term found as the name, in the name, the signature, the parent path, the docs.
@@ -42,12 +44,21 @@ def score(query: str) -> Column:
     return (F.greatest(*groups) if len(groups) > 1 else groups[0]).cast("int")
 
 
+_ASKED = "array<struct<id:bigint,groups:array<array<string>>>>"
+
+
 def search_batch(items: DataFrame, queries: dict[int, str], kind: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """query_id, rank, item_id, path, kind, signature, score. The queries compile into one pass over the items;
-    each task keeps ``limit`` rows a query before anything moves."""
+    """query_id, rank, item_id, path, kind, signature, score. The queries are one literal that every row is held
+    against, so the plan stays as small for ten thousand as for ten; a task keeps ``limit`` rows a query before anything moves."""
     if kind:
         items = items.filter(schemas.filter_group(F.col("kind")) == kind)
-    hits = F.filter(F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), score(q).alias("score")) for i, q in queries.items()]), lambda x: x["score"] > 0)
+    asked = F.from_json(F.lit(json.dumps([{"id": i, "groups": parse(q)} for i, q in queries.items()])), _ASKED)
+
+    def group_score(terms: Column) -> Column:
+        points = F.transform(terms, term_score)
+        return F.when(F.exists(points, lambda p: p == 0), 0).otherwise(F.aggregate(points, F.lit(0), lambda a, p: a + p))
+
+    hits = F.filter(F.transform(asked, lambda q: F.struct(q["id"].alias("query_id"), F.array_max(F.transform(q["groups"], group_score)).alias("score"))), lambda x: x["score"] > 0)
     rows = items.select("package", "item_id", "path", "kind", "signature", F.explode(hits).alias("h")).select("*", "h.query_id", "h.score").drop("h")
     best = Window.partitionBy("package", "query_id").orderBy(F.desc("score"), "path", "item_id")
     top = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
@@ -56,14 +67,33 @@ def search_batch(items: DataFrame, queries: dict[int, str], kind: str | None = N
 
 
 def search(items: DataFrame, query: str, kind: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """item_id, path, kind, signature, score of the ``limit`` best rows, one for each path."""
+    """rank, item_id, path, kind, signature, score of the ``limit`` best rows, best first, one for each path."""
     if kind:
         items = items.filter(schemas.filter_group(F.col("kind")) == kind)
+    order = Window.orderBy(F.desc("score"), "path", "item_id")  # the rows that the limit left, in one partition already
     top = items.withColumn("score", score(query)).filter("score > 0").orderBy(F.desc("score"), "path", "item_id").limit(limit)
-    twin = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "item_id"))
-    return top.withColumn("twin", twin).filter("twin = 1").select("item_id", "path", "kind", "signature", "score")
+    before = F.collect_list("path").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    top = top.withColumn("rank", F.row_number().over(order)).withColumn("before", before)
+    return top.filter(~F.array_contains("before", F.col("path"))).select("rank", "item_id", "path", "kind", "signature", "score", *[c for c in ("summary",) if c in items.columns])
 
 
 def as_json(hits: DataFrame) -> DataFrame:
-    """One JSON line for each hit, keys in alphabetical order."""
-    return hits.select(F.to_json(F.struct("kind", "path", "score", "signature")).alias("line"))
+    """rank, line: one JSON object for each hit, keys in alphabetical order; the summary is left out where it is empty."""
+    return hits.select("rank", F.to_json(F.struct("kind", "path", "score", "signature", F.nullif("summary", F.lit("")).alias("summary"))).alias("line")).orderBy("rank")
+
+
+def as_text(hits: DataFrame, query: str) -> DataFrame:
+    """text: a heading with the number of hits and a line for each, its columns as wide as the widest; no row without hits."""
+    short = schemas.short_name(F.col("kind"))
+    rows = hits.select("rank", short.alias("short"), "path", F.coalesce("summary", F.lit("")).alias("summary"))
+    line = lambda x, wk, wp: F.concat(F.lit("  "), T.pad(x["short"], wk), F.lit("  "), F.when(x["summary"] == "", x["path"]).otherwise(F.concat(T.pad(x["path"], wp), F.lit("  "), x["summary"])))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("rank", "short", "path", "summary"))).alias("x"), F.max(F.octet_length("short")).alias("wk"), F.max(F.octet_length("path")).alias("wp"))  # at most ``limit`` rows
+    n = F.size("x")
+    head = F.concat(n.cast("string"), F.when(n == 1, " result for ").otherwise(" results for "), F.lit(json.dumps(query, ensure_ascii=False) + ":\n\n"))
+    return one.filter(n > 0).select(F.concat(head, F.array_join(F.transform("x", lambda x: line(x, F.col("wk"), F.col("wp"))), "\n")).alias("text"))
+
+
+def hint(items: DataFrame, wider: DataFrame, query: str, kind: str | None = None) -> DataFrame:
+    """n_wider: for a query without hits in ``items``, how many it has in the index built with all features; no row if it has hits."""
+    none = search(items, query, kind, 1).agg(F.count("*").alias("n")).filter("n = 0")
+    return none.join(search(wider, query, kind).agg(F.count("*").alias("n_wider")), F.lit(True)).filter("n_wider > 0").select("n_wider")  # one row each

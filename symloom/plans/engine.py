@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom import schemas
 from symloom.operators import build, index, listing, lookup, recover, render, search, suggest
-from symloom.operators.store import Store, materialize
+from symloom.operators.store import Store, fingerprint, materialize
 from symloom.sources import docjson
 
 # Views that exclude each other.
@@ -57,9 +57,9 @@ class Engine:
 
     @classmethod
     def from_json(cls, spark: SparkSession, path: str, store: Store | None = None, key: str = "") -> Engine:
-        """Builds the index of all documentation files under ``path``, or takes it from the store."""
+        """Builds the index of all documentation files under ``path``, or takes it from the store while the files are unchanged."""
         tables = (lambda: build.build_index(docjson.read(spark, path)))
-        made = store.get(path, key, tables) if store else tables()
+        made = store.get(path, key, tables, fingerprint(spark, [path])) if store else tables()
         return cls(spark, **{"items": made["items"], "children": made["children"], "trait_impls": made["trait_impls"], "glob_uses": made["glob_uses"]})
 
     def queries(self, texts: list[str], kind: str | None = None, current: str = "") -> DataFrame:

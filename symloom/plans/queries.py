@@ -99,7 +99,7 @@ def _search_sql(query: str, extra: str = "true") -> str:
     return f""", scored AS (SELECT *, {score} AS score FROM items WHERE {extra}),
 top AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, item_id) AS n FROM scored WHERE score > 0),
 cut AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n) AS twin FROM top WHERE n <= 20)
-SELECT item_id, path, kind, signature, CAST(score AS INTEGER) AS score FROM cut WHERE twin = 1"""
+SELECT CAST(n AS INTEGER) AS rank, item_id, path, kind, signature, CAST(score AS INTEGER) AS score FROM cut WHERE twin = 1"""
 
 
 def _searcher(name: str, query: str, kind: str | None = None):
