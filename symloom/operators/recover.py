@@ -76,10 +76,15 @@ def recover(queries: DataFrame, items: DataFrame, edges: DataFrame, globs: DataF
     lost = queries.join(done.filter("status = 'NotFound'").select("query_id"), "query_id", "left_semi")
     named = materialize(same_name(lost.withColumn("text", F.array_join("segments", "::")), items), "named")
     lost = lost.join(named.select("query_id"), "query_id", "left_anti")
-    deep = materialize(by_prefix(lost, items), "prefixed")
+    # What is found only as re-exports of several things descends too; where that fails it stays as it was.
+    first = materialize(done.filter("status <> 'NotFound'").select("query_id", "status", "rank", "item_id", "path", "kind", F.lit("resolve").alias("rung")).unionByName(named.withColumn("rung", F.lit("name"))), "first")
+    sources = items.select("package", "item_id", "reexport_source")
+    only = first.filter("status = 'Ambiguous'").join(queries.select("query_id", "package"), "query_id").join(sources, ["package", "item_id"]).groupBy("query_id").agg(F.min(F.col("reexport_source").isNotNull()).alias("every")).filter("every").select("query_id")
+    deep = materialize(by_prefix(lost.unionByName(queries.join(only, "query_id", "left_semi")), items), "prefixed")
+    first = first.join(deep.select("query_id"), "query_id", "left_anti")
     lost = lost.join(deep.select("query_id"), "query_id", "left_anti")
     wide = by_glob(lost, items, globs)
-    parts = [done.filter("status <> 'NotFound'").select("query_id", "status", "rank", "item_id", "path", "kind", F.lit("resolve").alias("rung")), named.withColumn("rung", F.lit("name"))]
+    parts = [first]
     for rung, rows in (("prefix", deep), ("glob", wide)):
         parts.append(rows.select("query_id", F.lit("Found").alias("status"), F.lit(1).alias("rank"), "item_id", "path", "kind", F.lit(rung).alias("rung")))
     hits = parts[0]

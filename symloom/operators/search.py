@@ -78,22 +78,20 @@ def search(items: DataFrame, query: str, kind: str | None = None, limit: int = L
 
 
 def as_json(hits: DataFrame) -> DataFrame:
-    """rank, line: one JSON object for each hit, keys in alphabetical order; the summary is left out where it is empty."""
-    return hits.select("rank", F.to_json(F.struct("kind", "path", "score", "signature", F.nullif("summary", F.lit("")).alias("summary"))).alias("line")).orderBy("rank")
+    """rank, line: a JSON object for each hit (with its summary), keys in alphabetical order."""
+    return hits.select("rank", F.to_json(F.struct(schemas.short_name(F.col("kind")).alias("kind"), "path", "score", "signature", F.coalesce("summary", F.lit("")).alias("summary"))).alias("line"))
 
 
 def as_text(hits: DataFrame, query: str) -> DataFrame:
-    """text: a heading with the number of hits and a line for each, its columns as wide as the widest; no row without hits."""
-    short = schemas.short_name(F.col("kind"))
-    rows = hits.select("rank", short.alias("short"), "path", F.coalesce("summary", F.lit("")).alias("summary"))
-    line = lambda x, wk, wp: F.concat(F.lit("  "), T.pad(x["short"], wk), F.lit("  "), F.when(x["summary"] == "", x["path"]).otherwise(F.concat(T.pad(x["path"], wp), F.lit("  "), x["summary"])))
-    one = rows.agg(F.array_sort(F.collect_list(F.struct("rank", "short", "path", "summary"))).alias("x"), F.max(F.octet_length("short")).alias("wk"), F.max(F.octet_length("path")).alias("wp"))  # at most ``limit`` rows
-    n = F.size("x")
-    head = F.concat(n.cast("string"), F.when(n == 1, " result for ").otherwise(" results for "), F.lit(json.dumps(query, ensure_ascii=False) + ":\n\n"))
-    return one.filter(n > 0).select(F.concat(head, F.array_join(F.transform("x", lambda x: line(x, F.col("wk"), F.col("wp"))), "\n")).alias("text"))
+    """text: the number of hits and a line for each, kinds and paths as wide as the widest."""
+    rows = hits.select("rank", schemas.short_name(F.col("kind")).alias("short"), "path", F.coalesce("summary", F.lit("")).alias("summary"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("rank", "short", "path", "summary"))).alias("x"), F.max(F.octet_length("short")).alias("wk"), F.max(F.octet_length("path")).alias("wp"))  # at most ``LIMIT`` rows
+    line = lambda x: F.concat(T.pad(x["short"], F.col("wk")), F.lit("  "), T.pad(x["path"], F.col("wp")), F.when(x["summary"] == "", "").otherwise(F.concat(F.lit("  "), x["summary"])))
+    head = F.concat(F.size("x").cast("string"), F.lit(f' results for "{query}":'))
+    return one.select(F.when(F.size("x") == 0, head).otherwise(F.concat(head, F.lit("\n\n"), F.array_join(F.transform("x", line), "\n"))).alias("text"))
 
 
 def hint(items: DataFrame, wider: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """n_wider: for a query without hits in ``items``, how many it has in the index built with all features; no row if it has hits."""
+    """n_wider: how many hits a query without any in ``items`` has in the index built with all features; else no row."""
     none = search(items, query, kind, 1).agg(F.count("*").alias("n")).filter("n = 0")
-    return none.join(search(wider, query, kind).agg(F.count("*").alias("n_wider")), F.lit(True)).filter("n_wider > 0").select("n_wider")  # one row each
+    return none.join(search(wider, query, kind).agg(F.count("*").alias("n_wider")), F.lit(True)).filter("n_wider > 0").select("n_wider")  # a row on each side

@@ -33,6 +33,22 @@ def suggestions(queries: DataFrame, items: DataFrame) -> DataFrame:
     return _top(met.select("query_id", "distance", "path"))
 
 
+def block(found: DataFrame) -> DataFrame:
+    """query_id, text: what a message appends for the suggestions of a query (query_id, rank, path)."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: F.concat(F.lit("\n  "), x["path"])), "")
+    return found.groupBy("query_id").agg(F.concat(F.lit("\n\nDid you mean:"), lines).alias("text"))
+
+
+def not_found(queries: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, suggestions, message, exit_code of the queries (query_id, package, text) that a lookup did not find."""
+    lost = queries.join(hits.filter("status = 'NotFound'").select("query_id"), "query_id", "left_semi")
+    found = suggestions(lost, items)
+    near = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("suggestions"))
+    out = lost.join(near, "query_id", "left").join(block(found).withColumnRenamed("text", "more"), "query_id", "left")
+    message = F.concat(F.lit('no item matching "'), "text", F.lit('" in crate \''), "package", F.lit("'"), F.coalesce("more", F.lit("")))
+    return out.select("query_id", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"), message.alias("message"), F.lit(1).alias("exit_code"))
+
+
 def child_suggestions(queries: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, rank, distance, path over the children of a parent (query_id, package, parent_id, method)."""
     kids = queries.join(edges, ["package", "parent_id"]).join(items.select("package", F.col("item_id").alias("child_id"), "name", "path"), ["package", "child_id"])

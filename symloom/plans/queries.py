@@ -11,7 +11,7 @@ from symloom import schemas
 from symloom.functions import markdown
 from symloom.functions import signature as sig
 from symloom.functions import text as T
-from symloom.operators import index, listing, packages, recover, render, store
+from symloom.operators import build, index, listing, packages, recover, render, store
 from symloom.operators import lookup as L
 from symloom.operators import search as S
 from symloom.operators import suggest as G
@@ -494,3 +494,132 @@ def known_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = corpus.read(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), F.col("p_size").cast("string").alias("version"), "p_retailprice")
     failed = part.filter("p_retailprice > 1500").select(F.concat_ws("@", "package", "version").alias("name_version"))
     return store.known_failures(part.select("package", "version").distinct(), failed)
+
+
+# Output of searches, messages, sources, listings.
+
+_WIDGETS = _search_sql("widget").rsplit("SELECT CAST(n", 1)[0].rstrip()
+
+
+@register(_WIDGETS + f", o AS (SELECT n, path, {_SHORT} AS short FROM cut WHERE twin = 1), w AS (SELECT max(strlen(short)) AS wk, max(strlen(path)) AS wp FROM o) SELECT count(*) || ' results for \"widget\":' || chr(10) || chr(10) || string_agg(rpad(short, CAST(wk AS INTEGER), ' ') || '  ' || rpad(path, CAST(wp AS INTEGER), ' '), chr(10) ORDER BY n) AS text FROM o, w")
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.as_text(S.search(_plain(_items(spark, sf_dir)), "widget"), "widget")
+
+
+@register(_WIDGETS + f""" SELECT CAST(n AS INTEGER) AS rank, '{{"kind":"' || {_SHORT} || '","path":"' || path || '","score":' || score || ',"signature":"' || signature || '","summary":""}}' AS line FROM cut WHERE twin = 1""")
+def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.as_json(S.search(_plain(_items(spark, sf_dir)), "widget"))
+
+
+@register(_search_sql("brand").rsplit("SELECT CAST(n", 1)[0] + "SELECT count(*) AS n_wider FROM cut WHERE twin = 1")
+def search_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search without hits among the modules only, and what the whole index would give."""
+    items = _items(spark, sf_dir)
+    return S.hint(items.filter("kind = 'Module'"), items, "brand")
+
+
+@register(ORACLE_SQL["suggest_topk"].split("WITH ", 1)[1].removeprefix(CORPUS).rsplit("SELECT CAST(query_id AS BIGINT)", 1)[0] + """, m AS (SELECT query_id, string_agg(chr(10) || '  ' || path, '' ORDER BY rank) AS near FROM r WHERE rank <= 5 GROUP BY query_id)
+SELECT CAST(q.query_id AS BIGINT) AS query_id, 'no item matching "' || text || '" in crate ''tpch''' || CASE WHEN near IS NULL THEN '' ELSE chr(10) || chr(10) || 'Did you mean:' || near END AS message, 1 AS exit_code FROM q LEFT JOIN m ON m.query_id = q.query_id""")
+def not_found_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _values(spark, [(i, "tpch", t) for i, t in NEAR], "query_id long, package string, text string")
+    return G.not_found(asked, asked.select("query_id", F.lit("NotFound").alias("status")), _items(spark, sf_dir)).select("query_id", "message", "exit_code")
+
+
+@register("""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS x FROM documents WHERE text <> '')
+SELECT doc_id, CASE WHEN len(x) < 2 THEN '// source not available (Could not read ' || doc_id || ')' ELSE rtrim('fn docs::d' || doc_id || '  ' || doc_id || ':2-3' || chr(10) || array_to_string(x[2:3], chr(10)), chr(10)) END AS text FROM l""", corpus_cte=False)
+def source_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second and third line of every document as the source of a function."""
+    docs = corpus.read(spark, sf_dir, "documents").filter("text <> ''")
+    file = F.col("doc_id").cast("string")
+    files = docs.select(F.lit("docs").alias("package"), file.alias("file"), "text")
+    items = docs.select(F.lit("docs").alias("package"), F.col("doc_id").alias("item_id"), F.concat(F.lit("docs::d"), file).alias("path"), F.concat(F.lit("d"), file).alias("name"), F.lit("Function").alias("kind"), F.lit(2).alias("depth"), F.lit("").alias("docs"), F.lit(None).cast("string").alias("feature_gate"), F.struct(file.alias("file"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end")).alias("span"))
+    return render.sources(items, files, items).select(F.col("item_id").alias("doc_id"), "text")
+
+
+@register(" SELECT CASE WHEN module_path = '' THEN 'tpch' ELSE module_path END AS module_path, module_path || ':' || chr(10) || chr(10) || string_agg('trait  ' || path || chr(10) || '    ' || signature, chr(10) || chr(10) ORDER BY path, item_id) AS lines FROM items WHERE kind = 'Trait' GROUP BY module_path")
+def recursive_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.documented(_plain(_items(spark, sf_dir)).filter("kind = 'Trait'")).select("module_path", "lines")
+
+
+@register(f""" SELECT item_id, '{{"path":"' || path || '","kind":"' || {_SHORT} || '","signature":"' || signature || '","summary":""' || CASE WHEN reexport_source IS NULL THEN '' ELSE ',"reexported_from":"' || reexport_source || '"' END || '}}' AS line FROM items WHERE docs = ''""")
+def json_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.json_list(_plain(_items(spark, sf_dir)).filter("docs = ''"), "item_id")
+
+
+# An index built from documentation JSON: a package for each region, a module for each nation, a struct with an
+# inherent and a trait implementation for each supplier.
+
+_GENERICS = '{"params":[],"where_predicates":[]}'
+_METHOD = '{"function":{"sig":{"inputs":%s,"output":%s,"is_c_variadic":false},"generics":' + _GENERICS + ',"header":{"is_const":false,"is_unsafe":false,"is_async":false,"abi":"Rust"},"has_body":true}}'
+_GET = _METHOD % ('[["self",{"borrowed_ref":{"lifetime":null,"is_mutable":false,"type":{"generic":"Self"}}}]]', '{"primitive":"u32"}')
+_DEFAULT = _METHOD % ("[]", '{"generic":"Self"}')
+
+
+def _documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """package, json."""
+    region, nation, supplier = (corpus.read(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    text = lambda c: F.col(c).cast("string")
+    package = F.concat(F.lit("region_"), text("r_regionkey"))
+
+    def item(key, name, inner, visibility="public", docs=""):
+        return F.format_string('"%s":{"id":%s,"crate_id":0,"name":%s,"span":{"filename":"src/lib.rs","begin":[1,1],"end":[2,1]},"visibility":"' + visibility + '","docs":"' + docs + '","links":{},"attrs":[],"deprecation":null,"inner":%s}', key, key, name, inner)
+
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    module = lambda ids: F.concat(F.lit('{"module":{"is_crate":false,"is_stripped":false,"items":['), ids, F.lit("]}}"))
+    key = lambda base, c: (F.col(c) + base).cast("string")
+    ids = lambda base, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.col(c) + base)), lambda x: x.cast("string")), ",")
+    impl = lambda member, trait: F.concat(F.lit('{"impl":{"is_unsafe":false,"generics":' + _GENERICS + ',"provided_trait_methods":[],"trait":' + trait + ',"for":{"resolved_path":{"path":"S","id":'), key(1000, "s_suppkey"), F.lit(',"args":null}},"items":['), member, F.lit('],"is_negative":false,"is_synthetic":false,"blanket_impl":null}}'))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("package", package)
+    sold = supplier.join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+    struct = F.concat(F.lit('{"struct":{"kind":"unit","generics":' + _GENERICS + ',"impls":['), key(10_000_000, "s_suppkey"), F.lit(","), key(20_000_000, "s_suppkey"), F.lit("]}}"))
+    null = F.lit("null")
+    parts = [
+        (places.groupBy("package").agg(ids(1, "n_nationkey").alias("ids")), item(F.lit("0"), quoted(F.col("package")), module(F.col("ids")))),
+        (places.join(sold.groupBy("n_nationkey").agg(ids(1000, "s_suppkey").alias("ids")), "n_nationkey", "left").withColumn("ids", F.coalesce("ids", F.lit(""))), item(key(1, "n_nationkey"), quoted(F.col("n_name")), module(F.col("ids")))),
+        (sold, item(key(1000, "s_suppkey"), quoted(F.col("s_name")), struct, docs="A supplier.")),
+        (sold, item(key(10_000_000, "s_suppkey"), null, impl(key(30_000_000, "s_suppkey"), "null"), "default")),
+        (sold, item(key(20_000_000, "s_suppkey"), null, impl(key(40_000_000, "s_suppkey"), '{"path":"Default","id":9,"args":null}'), "default")),
+        (sold, item(key(30_000_000, "s_suppkey"), quoted(F.lit("get")), F.lit(_GET))),
+        (sold, item(key(40_000_000, "s_suppkey"), quoted(F.lit("default")), F.lit(_DEFAULT), "default")),
+    ]
+    path = lambda k, kind, *names: F.concat(quoted(k), F.lit(':{"crate_id":0,"kind":"' + kind + '","path":['), F.concat_ws(",", *[quoted(n) for n in names]), F.lit("]}"))
+    named = [(places.select("package").distinct(), path(F.lit("0"), "module", F.col("package"))), (places, path(key(1, "n_nationkey"), "module", F.col("package"), F.col("n_name"))), (sold, path(key(1000, "s_suppkey"), "struct", F.col("package"), F.col("n_name"), F.col("s_name")))]
+
+    def joined(rows, name):
+        one = None
+        for df, entry in rows:
+            part = df.select("package", entry.alias("e"))
+            one = part if one is None else one.unionByName(part)
+        return one.groupBy("package").agg(F.array_join(F.array_sort(F.collect_list("e")), ",").alias(name))
+
+    both = joined(parts, "items").join(joined(named, "paths"), "package")
+    return both.select("package", F.concat(F.lit('{"root":0,"crate_version":"1.0.0","includes_private":false,"format_version":57,"index":{'), "items", F.lit('},"paths":{'), "paths", F.lit('},"external_crates":{}}')).alias("json"))
+
+
+_JSON_ITEMS = """WITH p AS (SELECT n_nationkey, n_name, 'region_' || r_regionkey AS package FROM nation JOIN region ON n_regionkey = r_regionkey), s AS (SELECT package, package || '::' || n_name || '::' || s_name AS path, s_name FROM supplier JOIN p ON s_nationkey = n_nationkey)"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    inputs = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "supplier")])
+    return Store(spark).get(f"{sf_dir}|json", "built", lambda: build.build_index(materialize(_documentation(spark, sf_dir), "json")), inputs)
+
+
+@register(_JSON_ITEMS + """ SELECT DISTINCT package, package AS path, 'Module' AS kind, 'pub mod ' || package AS signature, '' AS summary, true AS is_public FROM p UNION ALL SELECT package, package || '::' || n_name, 'Module', 'pub mod ' || n_name, '', true FROM p
+UNION ALL SELECT package, path, 'Struct', 'pub struct ' || s_name, 'A supplier.', true FROM s UNION ALL SELECT package, path || '::get', 'Function', 'pub fn get(&self) -> u32', '', true FROM s UNION ALL SELECT package, path || '::default', 'Function', 'fn default() -> Self', '', true FROM s""", corpus_cte=False)
+def index_json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)["items"].select("package", "path", "kind", "signature", "summary", "is_public")
+
+
+@register(_JSON_ITEMS + """, e AS (SELECT package, package AS parent, package || '::' || n_name AS child, n_nationkey AS o FROM p UNION ALL SELECT s.package, regexp_replace(s.path, '::[^:]*$', ''), s.path, s_suppkey FROM s JOIN supplier USING (s_name) UNION ALL SELECT package, path, path || '::get', 0 FROM s)
+SELECT package, parent, CAST(row_number() OVER (PARTITION BY package, parent ORDER BY o) - 1 AS INTEGER) AS pos, child FROM e""", corpus_cte=False)
+def index_json_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _built(spark, sf_dir)
+    items = made["items"].select("package", "item_id", "path")
+    rows = made["children"].join(items.select("package", F.col("item_id").alias("parent_id"), F.col("path").alias("parent")), ["package", "parent_id"]).join(items.select("package", F.col("item_id").alias("child_id"), F.col("path").alias("child")), ["package", "child_id"])
+    return rows.select("package", "parent", "pos", "child")
+
+
+@register(_JSON_ITEMS + " SELECT package, path, 0 AS pos, 'Default' AS trait_path, false AS is_synthetic FROM s", corpus_cte=False)
+def index_json_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _built(spark, sf_dir)
+    return made["trait_impls"].join(made["items"].select("package", "item_id", "path"), ["package", "item_id"]).select("package", "path", "pos", "trait_path", "is_synthetic")
