@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from symloom import schemas
 from symloom.functions import text as T
-from symloom.operators.index import suffix_table
 from symloom.operators.store import materialize
 
 COLUMNS = ("package", "item_id", "path", "name", "kind", "segs", "depth", "path_lc", "name_lc", "reexport_source", "is_stub")
@@ -26,8 +25,10 @@ def prepare(queries: DataFrame) -> DataFrame:
 def stage(queries: DataFrame, items: DataFrame, number: int) -> DataFrame:
     """Candidates of one stage: 1 exact path, 2 path in any case, 3 suffix, 4 name of a single segment."""
     rows = items.select(*COLUMNS)
-    if number == 3:
-        hits = queries.join(suffix_table(items).withColumnRenamed("suffix_lc", "q_lc"), ["package", "q_lc"]).join(rows, ["package", "item_id"])
+    if number == 3:  # a suffix ends in the same segment, so the segment is the key and the rest a comparison
+        asked = queries.withColumn("last_lc", F.lower(F.element_at("q_segs", -1)))
+        tail = F.endswith(F.concat(F.lit("::"), "path_lc"), F.concat(F.lit("::"), "q_lc"))
+        hits = asked.join(rows.withColumn("last_lc", F.lower(F.element_at("segs", -1))), ["package", "last_lc"]).filter(tail).drop("last_lc")
     else:
         key, value = {1: ("text", "path"), 2: ("q_lc", "path_lc"), 4: ("q_lc", "name_lc")}[number]
         asked = queries.filter("q_n = 1") if number == 4 else queries

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.operators.index import derive
+from symloom.operators.store import materialize
 
 PACKAGE, EXTENSION = "tpch", "tpch_ext"
 
@@ -72,8 +73,18 @@ def items(spark: SparkSession, sf_dir: str, extension: bool = False) -> DataFram
     rows = raw_symbols(spark, sf_dir)
     if extension:
         rows = rows.unionByName(extension_symbols(spark, sf_dir))
-    order = Window.partitionBy("package").orderBy("path", "kind", "k")
-    return derive(rows.withColumn("item_id", F.row_number().over(order).cast("long") - 1).drop("k"))
+    return derive(numbered(rows, ["path", "kind", "k"]).drop("k"))
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``item_id``, the place in ``order`` within the package. Rows are dealt by range and each range numbered on its own."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(parts, "package", *order).withColumn("part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("package", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("package", "part", (F.sum("n").over(Window.partitionBy("package").orderBy("part")) - F.col("n")).alias("before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("package", "part").orderBy(*order))
+    return dealt.join(before, ["package", "part"]).withColumn("item_id", F.col("before") + place.cast("long") - 1).drop("part", "before")
 
 
 def trait_impls(spark: SparkSession, sf_dir: str) -> DataFrame:
