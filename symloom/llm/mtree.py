@@ -49,14 +49,18 @@ def compact(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
 
 
-def products(points: np.ndarray, own: np.ndarray, most: float) -> np.ndarray:
-    """Exact inner products of rows of whole numbers up to ``most`` with a vector of such."""
+def exactly(own: np.ndarray, most: float):
+    """(vector, product): how rows of whole numbers up to ``most`` meet ``own`` without rounding."""
     reach = most * float(np.abs(own).max(initial=0)) * len(own)
     if reach < 2.0**53:
-        return (points.astype(np.float64, copy=False) @ own.astype(np.float64)).astype(np.int64)
+        return own.astype(np.float64), lambda points, q: points.astype(np.float64, copy=False) @ q
     if reach < 2.0**62:
-        return points.astype(np.int64) @ own.astype(np.int64)
-    out = np.array([[int(v) for v in row] for row in points.tolist()], dtype=object).reshape(points.shape) @ np.array([int(v) for v in own.tolist()], dtype=object)
+        return own.astype(np.int64), lambda points, q: points.astype(np.int64) @ q
+    return np.array([int(v) for v in own.tolist()], dtype=object), _in_python
+
+
+def _in_python(points: np.ndarray, own: np.ndarray) -> np.ndarray:
+    out = np.array([[int(v) for v in row] for row in points.tolist()], dtype=object).reshape(points.shape) @ own
     if any(abs(v) >= 2**63 for v in out):
         raise OverflowError("an inner product does not fit a long")
     return out.astype(np.int64)
@@ -143,11 +147,11 @@ class MTree:
 
     def search(self, query: np.ndarray, skip: int, best: list[tuple], k: int) -> None:
         """Improves ``best``, a heap of at most k (score, -id)."""
-        own = query
+        own, product = exactly(query, self.most)
         q = np.append(query.astype(np.float64), 0.0)
         if self.root is None or float(np.abs(q).max()) >= LONGEST:
             for ids, points in [(self.ids, self.exact)] if self.root is None else self._leaves(self.root):
-                self._offer(ids, products(points, own, self.most), skip, best, k)
+                self._offer(ids, product(points, own), skip, best, k)
             return
         lift = self.top + float((q**2).sum())
         give = SLACK + 1e-6 * lift**0.5
@@ -181,7 +185,7 @@ class MTree:
             self.computed += int(b - a)
             if self.most < 2.0**26:  # doubles multiply faster; converted when first met
                 node.points = node.points.astype(np.float64, copy=False)
-            self._offer(node.ids[a:b], products(node.points[a:b], own, self.most), skip, best, k)
+            self._offer(node.ids[a:b], product(node.points[a:b], own), skip, best, k)
             limit = reach()
 
     def _leaves(self, node: Node):
