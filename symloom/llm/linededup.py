@@ -80,7 +80,7 @@ def dropped(stages: Stages, rows: DataFrame, min_docs: int) -> DataFrame:
     if not many.isEmpty():  # each of a document's repeated rows counts for its share of it
         heads, weight = seen.join(many, ["id", "uid"], "left"), F.col("head") / F.coalesce("times", F.lit(1))
     held = heads.groupBy("key").agg(F.sum(weight).alias("n"), F.min("id").alias("first"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
-    recurring = stages.keep(held.filter((F.col("n") > min_docs - 0.5) & (F.col("lo") < F.col("hi"))).select("key", "first"), "recurring")
+    recurring = held.filter((F.col("n") > min_docs - 0.5) & (F.col("lo") < F.col("hi"))).select("key", "first")
     hits = seen.select("key", "id", "uid", "line").join(recurring, "key").filter("id <> first")
     return hits.groupBy("id", "uid").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
