@@ -135,7 +135,8 @@ def resolve(queries: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame
     Tries in turn: the path under the package, the bare path, both without the kind filter, the last
     segment as a method of the rest under the package, and of the bare rest. No segments: the root."""
     bare = F.array_join("segments", "::")
-    full = F.when(bare == "", F.col("package")).otherwise(F.concat_ws("::", "package", bare))
+    root = F.substring_index("package", "@", 1)  # a package held by version has its plain name in paths
+    full = F.when(bare == "", root).otherwise(F.concat_ws("::", root, bare))
     none = F.lit(None).cast("string")
     head = F.array_join(F.slice("segments", F.lit(1), F.greatest(F.size("segments") - 1, F.lit(0))), "::")
     method = F.size("segments") > 1
@@ -144,7 +145,7 @@ def resolve(queries: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame
         F.when(F.size("segments") > 0, F.struct(F.lit(2).alias("try"), bare.alias("text"), F.col("kf").alias("kf"), none.alias("method"))),
         F.when((F.size("segments") > 0) & F.col("kf").isNotNull(), F.struct(F.lit(3).alias("try"), full.alias("text"), none.alias("kf"), none.alias("method"))),
         F.when((F.size("segments") > 0) & F.col("kf").isNotNull(), F.struct(F.lit(4).alias("try"), bare.alias("text"), none.alias("kf"), none.alias("method"))),
-        F.when(method, F.struct(F.lit(5).alias("try"), F.concat_ws("::", "package", head).alias("text"), F.col("kf").alias("kf"), F.element_at("segments", -1).alias("method"))),
+        F.when(method, F.struct(F.lit(5).alias("try"), F.concat_ws("::", root, head).alias("text"), F.col("kf").alias("kf"), F.element_at("segments", -1).alias("method"))),
         F.when(method, F.struct(F.lit(6).alias("try"), head.alias("text"), F.col("kf").alias("kf"), F.element_at("segments", -1).alias("method"))),
     )
     tries = queries.select(F.col("query_id").alias("origin"), "package", F.explode(F.filter(tries, lambda t: t.isNotNull())).alias("t"))

@@ -53,7 +53,7 @@ def by_prefix(queries: DataFrame, items: DataFrame) -> DataFrame:
     n = F.size("segments")
     cut = queries.select("query_id", "package", "segments", F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("len")).filter(F.col("len") < n)
     head, rest = F.array_join(F.slice("segments", F.lit(1), F.col("len")), "::"), F.array_join(F.slice("segments", F.col("len") + 1, n), "::")
-    cut = cut.select("query_id", "package", "len", rest.alias("rest"), F.explode(F.array(F.concat_ws("::", "package", head), head)).alias("path"))
+    cut = cut.select("query_id", "package", "len", rest.alias("rest"), F.explode(F.array(F.concat_ws("::", F.substring_index("package", "@", 1), head), head)).alias("path"))
     stubs = items.filter("is_stub").select("package", "path", T.reexport_source(F.col("reexport_source"), F.col("signature")).alias("base")).filter("base IS NOT NULL")
     asked = cut.join(stubs, ["package", "path"]).select("query_id", F.concat_ws("::", "base", "rest").alias("source"), F.lpad((F.lit(10**6) - F.col("len")).cast("string"), 7, "0").alias("priority")).distinct()
     return _into(asked, items)
@@ -65,7 +65,7 @@ def by_glob(queries: DataFrame, items: DataFrame, globs: DataFrame) -> DataFrame
     cut = queries.select("query_id", "package", "segments", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("len"))
     head = F.array_join(F.slice("segments", F.lit(1), F.col("len")), "::")
     parent = F.when(F.col("len") == 0, F.lit("")).otherwise(head)
-    cut = cut.select("query_id", "package", "len", F.array_join(F.slice("segments", F.col("len") + 1, n), "::").alias("rest"), F.explode(F.array(parent, F.when(F.col("len") == 0, F.col("package")).otherwise(F.concat_ws("::", "package", head)))).alias("parent_path")).distinct()
+    cut = cut.select("query_id", "package", "len", F.array_join(F.slice("segments", F.col("len") + 1, n), "::").alias("rest"), F.explode(F.array(parent, F.when(F.col("len") == 0, F.substring_index("package", "@", 1)).otherwise(F.concat_ws("::", F.substring_index("package", "@", 1), head)))).alias("parent_path")).distinct()
     asked = cut.join(globs, ["package", "parent_path"]).select("query_id", F.concat_ws("::", "source_path", "rest").alias("source"), F.concat(F.lpad((F.lit(10**6) - F.col("len")).cast("string"), 7, "0"), F.lit(":"), "source_path").alias("priority")).distinct()
     return _into(asked, items)
 

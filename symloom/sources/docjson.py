@@ -1,7 +1,7 @@
 """Documentation JSON as tables: one row per file, exploded to one row per item with VARIANT functions.
 
-Nothing is inferred: unknown fields are ignored, absent ones are null. Documents nested deeper than the
-parser allows go through ``parse_deep``, which reads them in Python without a depth limit."""
+Nothing is inferred: unknown fields are ignored, absent ones are null. The parser refuses documents nested
+some hundred levels deep; ``parse_deep`` reads one such document in Python, outside the index build."""
 
 from __future__ import annotations
 

@@ -79,3 +79,31 @@ def test_several_re_exports_descend(spark):
     got = [(r["query_id"], r["status"], r["path"], r["rung"]) for r in recover.recover(asked, items, edges, globs).orderBy("query_id", "rank").collect()]
     assert got[0] == (0, "Found", "u::Thing::push", "prefix")
     assert [x[:2] for x in got[1:]] == [(1, "Ambiguous")] * 2
+
+
+def test_engine_answers_versions_trees_and_workspaces(spark):
+    from symloom.plans.engine import Engine, PackageNotFound
+
+    rows = []
+    for package in ("t@1.0.0", "t@1.2.0", "u"):
+        root = package.split("@")[0]
+        for n, (path, kind, docs) in enumerate([(root, "Module", ""), (f"{root}::Only", "Struct", f"Of {package}."), (f"{root}::m", "Module", ""), (f"{root}::m::f", "Function", "")]):
+            rows.append((package, n, path, path.split("::")[-1], kind, "", docs, docs, ("a.rs", 1, 1), True, True, None, None))
+    from symloom import schemas
+
+    items = spark.createDataFrame(rows, schemas.ITEMS)
+    edges = spark.createDataFrame([(p, a, n, b) for p in ("t@1.0.0", "t@1.2.0", "u") for a, n, b in ((0, 0, 1), (0, 1, 2), (2, 0, 3))], schemas.CHILDREN)
+    engine = Engine(spark, items, edges, spark.createDataFrame([], schemas.TRAIT_IMPLS), spark.createDataFrame([], schemas.GLOB_USES))
+    got = {r["query_id"]: (r["status"], r["text"]) for r in engine.answers(["t@1::Only", "t@1.0.0::Only", "u::Onli", "u"]).collect()}
+    assert got[0] == ("Found", "struct t::Only\n\n\n\nOf t@1.2.0.") and "Of t@1.0.0." in got[1][1]
+    assert got[2][0] == "NotFound" and got[2][1].endswith("Did you mean:\n  u::Only") and got[3][1].startswith("crate u")
+    try:
+        engine.queries(["t@7::x"])
+        raise AssertionError
+    except PackageNotFound as lost:
+        assert lost.exit_code == 1
+    assert {(r["package"], r["status"]) for r in engine.workspace(["u", "gone"]).collect()} == {("u", "Found"), ("gone", "Missing")}
+    assert {r["module_path"]: r["lines"] for r in engine.tree_view("u", "brief").collect()} == {"u": "u:\n  struct  Only\n  mod     m", "u::m": "u::m:\n  fn      f"}
+    files = spark.createDataFrame([("u", "a.rs", "code")], "package string, file string, text string")
+    assert engine.source(files, spark.createDataFrame([(1, 1, "u", 0)], "key int, rank int, package string, item_id long"), "struct").first()["text"] == "--- u::Only ---\nstruct u::Only  a.rs:1\ncode"
+    assert engine.source_tree(files, "u").first()["text"].count("code") == 2
