@@ -462,13 +462,20 @@ def text_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.text(_plain(items), edges, rows, items.filter("kind IN ('Module', 'Struct', 'Trait')")).select("item_id", "text")
 
 
-@register()
+_SHORT = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s, *_ in schemas.KINDS) + " END"
+
+
+@register(f""", wanted AS (SELECT *, {_SHORT} AS short FROM items WHERE kind IN ('Module', 'Struct', 'Trait')),
+kids AS (SELECT p.item_id AS pid, p.kind AS pk, c.cat, c.name, c.kind, row_number() OVER (PARTITION BY parent_id, c.cat ORDER BY c.name, pos) AS place FROM edges JOIN wanted p ON p.item_id = parent_id JOIN items c ON c.item_id = child_id WHERE p.kind <> 'Module' OR c.is_public),
+named AS (SELECT *, {_SHORT} AS short, max(strlen({_SHORT})) OVER (PARTITION BY pid) AS width FROM kids),
+l AS (SELECT item_id, 0 AS section, 0 AS sub, 0 AS rank, CASE WHEN depth = 1 AND kind = 'Module' THEN 'crate' ELSE short END || ' ' || path AS line FROM wanted
+UNION ALL SELECT pid, 1, cat, place, '  ' || rpad(short, CAST(width AS INTEGER), ' ') || '  ' || name FROM named WHERE pk = 'Module' UNION ALL SELECT pid, 1, 1, place, '  fn       ' || name FROM named WHERE pk = 'Struct' AND kind = 'Function')
+SELECT item_id, string_agg(line, chr(10) ORDER BY section, sub, rank, line) AS text FROM l GROUP BY item_id""")
 def brief_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, edges = _full(spark, sf_dir)
     return render.brief(_plain(items), edges, items.filter("kind IN ('Module', 'Struct', 'Trait')")).select("item_id", "text")
 
 
-_SHORT = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s, *_ in schemas.KINDS) + " END"
 
 
 @register(f""", w AS (SELECT max(strlen({_SHORT})) AS wk, max(strlen(path)) AS wp FROM items),
