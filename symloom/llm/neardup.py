@@ -10,8 +10,9 @@
    pivot: two sets x and y link only if their differences from the pivot share at least
    ``(a(x) + a(y)) / 2`` elements, ``a`` being the difference's size less the set's share of the distance
    allowed. So each difference is put in order, elements that few others hold first, and only members that
-   share an element early enough in that order are candidates. No link is lost, and a group of near
-   copies whose edits differ costs rows in proportion to the edits, not pairs.
+   share an element early enough in that order are candidates. Elements that one component alone holds come
+   first of all, and those that over half of the members hold come last: both stay inside the member's row.
+   No link is lost, and a group of near copies whose edits differ costs rows in proportion to the edits, not pairs.
 5. A candidate's second signatures are compared in batches of ``STEP``; it goes once the posterior
    probability that its similarity reaches the threshold (uniform prior) falls below ``MISS``.
 6. Survivors are confirmed on the full shingle sets, as 64-bit hashes.
@@ -152,7 +153,7 @@ def _differences(percent: int):
     lo, hi = 100 - percent, 100 + percent
 
     def work(cols):
-        out = {"pivot": cols["pivot"], "node": cols["node"], "n": [], "s": [], "a": [], "most": [], "elements": []}
+        out = {"pivot": cols["pivot"], "node": cols["node"], "comp": cols["comp"], "n": [], "s": [], "a": [], "most": [], "elements": []}
         for p, x in zip(cols["sp"].to_pylist(), cols["sx"].to_pylist(), strict=True):
             p, x = np.frombuffer(p, dtype=np.uint64), np.frombuffer(x, dtype=np.uint64)
             apart = np.setxor1d(p, x, assume_unique=True)
@@ -170,17 +171,34 @@ def _differences(percent: int):
     return work
 
 
+def _held(stages: Stages, apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements that members of several components of a pivot hold: (pivot, e, held) of those that at most half of its members do, and (pivot, common), the others as one list, rarest first and at most twice as long as the mean difference."""
+    sizes = apart.groupBy("pivot").agg(F.count("*").alias("members"))
+    one = apart.select("pivot", "comp", F.explode("elements").alias("e"))
+    several = one.groupBy("pivot", "e").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    held = stages.keep(several.join(sizes, "pivot").select("pivot", "e", "held", (2 * F.col("held") > F.col("members")).alias("most")), "held")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("held", "e"))), lambda x: x["e"])
+    return held.filter("NOT most").drop("most"), held.filter("most").groupBy("pivot").agg(order.alias("common"))
+
+
+def _places(stages: Stages, apart: DataFrame) -> DataFrame:
+    """key, node, n, s, a, pos: where members stand that may link one of another component."""
+    rare, common = _held(stages, apart)
+    none = F.array().cast("array<long>")
+    apart = apart.join(common, "pivot", "left").withColumn("common", F.coalesce("common", none))
+    order = apart.select("pivot", "node", F.explode(F.array_except("elements", "common")).alias("e")).join(rare, ["pivot", "e"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("held", "e"))).alias("rare"))
+    last = apart.select("pivot", "node", "n", "s", "a", "most", F.array_intersect("common", "elements").alias("last"))
+    placed = last.join(order, ["pivot", "node"], "left").withColumn("shared", F.concat(F.coalesce(F.transform("rare", lambda x: x["e"]), none), "last"))
+    placed = placed.withColumn("alone", F.col("s") - F.size("shared")).filter("most > alone")  # elements that no other component holds come first, and need no place
+    placed = placed.select("pivot", "node", "n", "s", "a", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("most") - F.col("alone"))).alias("at", "e"))
+    return placed.select(F.xxhash64("pivot", "e").alias("key"), "node", "n", "s", "a", (F.col("alone") + F.col("at")).alias("pos"))
+
+
 def _split(stages: Stages, members: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, s, a, pos: the places of (pivot, node) members under the rare elements of their differences."""
+    """key, node, n, s, a, pos: the places of (pivot, node, comp) members under the rare elements of their differences."""
     both = members.join(bags.select(F.col("node").alias("pivot"), F.col("bag").alias("sp")), "pivot").join(bags.select("node", F.col("bag").alias("sx")), "node")
-    apart = stages.keep(arrow_map(both.select("pivot", "node", "sp", "sx"), "pivot long, node long, n int, s int, a long, most int, elements array<long>", _differences(percent)), "apart")
-    one = apart.filter("most > 0").select("pivot", "node", F.explode("elements").alias("e"))
-    shared = stages.keep(one.groupBy("pivot", "e").agg(F.count("*").alias("held")).filter("held > 1"), "held")
-    order = one.join(shared, ["pivot", "e"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("held", "e"))).alias("common"))
-    placed = apart.select("pivot", "node", "n", "s", "a", "most").join(order, ["pivot", "node"])
-    alone = F.col("s") - F.size("common")  # elements that nobody else holds come first, and need no place
-    placed = placed.withColumn("alone", alone).filter("most > alone").select("pivot", "node", "n", "s", "a", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("most") - F.col("alone"))).alias("at", "x"))
-    return placed.select(F.xxhash64("pivot", "x.e").alias("key"), "node", "n", "s", "a", (F.col("alone") + F.col("at")).alias("pos"))
+    apart = stages.keep(arrow_map(both.select("pivot", "node", "comp", "sp", "sx"), "pivot long, node long, comp long, n int, s int, a long, most int, elements array<long>", _differences(percent)), "apart")
+    return _places(stages, apart.filter("most > 0"))
 
 
 def _beside(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -249,7 +267,7 @@ def _linked(stages: Stages, live: DataFrame, links: DataFrame, check: Verifier)
     rest = _beside(star.filter("node <> p.node").select("key", "node", F.col("p.node").alias("pivot")), labels)
     rest = stages.keep(rest, "rest")
     split = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    members = stages.keep(rest.join(split, "key").select("pivot", "node").distinct(), "members")
+    members = stages.keep(rest.join(split, "key").select("pivot", "node", "comp").distinct(), "members")
     if members.isEmpty():
         return labels
     places = stages.keep(_split(stages, members, check.bags, percent), "places")
