@@ -85,9 +85,11 @@ class TextModel:
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel:
     """Trigram model of labelled (doc_id, text, lang) from at most ``train_rows`` rows of each language."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), primary(F.col("lang")).alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # a task sends ``train_rows`` a language
-    chosen = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_rows).select("lang", "doc_id").distinct()
-    sample = rows.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
+    order = Window.partitionBy("lang").orderBy("place")
+    placed = rows.withColumn("place", F.struct(F.xxhash64("doc_id"), "doc_id"))
+    # a task sends ``train_rows`` places a language; a row a language comes back, so that no text is shuffled
+    cuts = placed.select("lang", "place").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_rows).groupBy("lang").agg(F.max("place").alias("last"))
+    sample = placed.join(F.broadcast(cuts), "lang").filter("place <= last").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("k", pa.int64()), ("n", pa.int64())])
 
     def run(batches):

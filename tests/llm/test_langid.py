@@ -60,3 +60,32 @@ def test_registered_domains(spark):
     hosts = ["a.b.example.co.uk", "example.co.uk", "x.example.de", "com", "a.com.br", None]
     got = [r[0] for r in spark.createDataFrame([(h,) for h in hosts], "host string").select(langid.registered(langid.F.col("host"))).collect()]
     assert got == ["example.co.uk", "example.co.uk", "example.de", "com", "a.com.br", None]
+
+
+def test_fit_shuffles_no_texts(spark):
+    """The sample is cut by places in the order of hashes; only those travel, and it is the rows that a full sort gives."""
+    from random import Random
+
+    dice = Random(3)
+    rows = [(n // 2, "".join(dice.choices("abcdefghijklmnopqrstuvwxyz ", k=8000)), ("en", "de")[n % 3 == 0]) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).localCheckpoint()
+    hashed = {r["doc_id"]: (r["h"], r["doc_id"]) for r in docs.select("doc_id", langid.F.xxhash64("doc_id").alias("h")).collect()}
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        model = langid.fit(docs, train_rows=31)
+        assert shuffled() - before < 500_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert model.codes == ["de", "en", "und"]
+    for at, lang in enumerate(model.codes[:2]):
+        own = sorted((hashed[i], text) for i, text, said in rows if said == lang)
+        count = sum(langid.np.bincount(langid.trigrams(text.encode()), minlength=langid.BUCKETS) for place, text in own if place <= own[30][0])
+        assert langid.np.allclose(model.logs[at], langid.np.log((count + 0.05) / (count.sum() + 0.05 * langid.BUCKETS)))
